@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.plans import general
+from ledgerloom.plans import general, knowledge
 
-MODULES = (general,)
+MODULES = (general, knowledge)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
