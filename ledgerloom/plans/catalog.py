@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.plans import general, knowledge
+from ledgerloom.plans import general, knowledge, links
 
-MODULES = (general, knowledge)
+MODULES = (general, knowledge, links)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
