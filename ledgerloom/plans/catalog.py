@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.plans import general, knowledge, links
+from ledgerloom.plans import general, knowledge, links, streams
 
-MODULES = (general, knowledge, links)
+MODULES = (general, knowledge, links, streams)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
