@@ -27,7 +27,7 @@ from ledgerloom.llm.components import components
 #: The least similarity, as a fraction.
 SIMILARITY = (3, 5)
 #: Texts expected in a cell, at most, before its words are joined by a further one.
-CELL = 40
+CELL = 200
 #: Frequent words (and large concepts) whose counts are held by every task, at most.
 FREQUENT = 262_144
 #: Bits of the sketch that tells which values occur at all; a false hit costs a row, never a result.
