@@ -16,7 +16,7 @@ def read_notes(spark: SparkSession, folder: str, pattern: str = "*.md") -> DataF
 
     ``head`` is the ``---`` block without its marks, null where there is none; ``body`` is the rest.
     """
-    files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(folder)
+    files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
     t = files.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("name"), "value").where(~F.col("name").isin(*RESERVED))
     block = r"(?s)\A---\r?\n(.*?)\r?\n---(?:\r?\n|\z)"
     head = F.regexp_extract("value", block, 1)
