@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.durable import checkpoint
 from ledgerloom.functions.skew import salted_join
 
 #: Edits allowed per word of the evaluation question: ten words of a question of twenty may come, go or change (twice).
@@ -30,14 +31,20 @@ def canonical_words(c: Column) -> Column:
 
 
 def _numbers(words: Column) -> Column:
-    """Version and ticket numbers, which must all be the same: they lead every join key."""
-    return F.array_join(F.filter(words, lambda w: w.rlike(r"^\p{N}")), " ")
+    """Hash of the version and ticket numbers, which must all be the same: they lead every join key."""
+    return F.xxhash64(F.filter(words, lambda w: w.rlike(r"^\p{N}")))
+
+
+def _named(rows: DataFrame, key: str, text: str) -> DataFrame:
+    words = canonical_words(F.col(text))
+    named = rows.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), words.alias("words")).where("words IS NOT NULL")
+    return named.withColumn("cls", F.unhex(F.md5(F.array_join("words", " "))))
 
 
 def _classes(rows: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """Distinct word sequences, and which ids have them."""
-    named = rows.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), canonical_words(F.col(text)).alias("words")).where("words IS NOT NULL").withColumn("cls", F.sha2(F.array_join("words", " "), 256))
-    return named.groupBy("cls").agg(F.first("words").alias("words")), named.select("cls", "id").distinct()
+    """Distinct word sequences with their numbers, and which ids have them."""
+    named = _named(rows, key, text)
+    return checkpoint(named.groupBy("cls").agg(F.first("words").alias("words")).withColumn("numbers", _numbers(F.col("words")))), named.select("cls", "id").distinct()
 
 
 def _edits(n: Column) -> Column:
@@ -45,24 +52,24 @@ def _edits(n: Column) -> Column:
 
 
 def eval_segments(classes: DataFrame) -> DataFrame:
-    """``(cls, n, at, numbers, seg)``: the k+1 even segments of each sequence; ``at`` is the place of its first word."""
+    """``(cls, n, k, at, key)``: the k+1 even segments of each sequence; ``at`` is the place of its first word, ``key`` hashes numbers and words."""
     n = F.size("words")
     k = F.least(_edits(n), n - 1)
     cut = lambda i: F.floor(i * F.col("n") / (F.col("k") + 1)).cast("int")
-    cuts = classes.select("cls", "words", n.alias("n"), k.alias("k"), _numbers(F.col("words")).alias("numbers")).select("*", F.explode(F.sequence(F.lit(0), F.col("k"))).alias("i"))
-    return cuts.select("cls", "n", "k", "numbers", cut(F.col("i")).alias("at"), F.array_join(F.slice("words", cut(F.col("i")) + 1, cut(F.col("i") + 1) - cut(F.col("i"))), " ").alias("seg"))
+    cuts = classes.select("cls", "words", "numbers", n.alias("n"), k.alias("k")).select("*", F.explode(F.sequence(F.lit(0), F.col("k"))).alias("i"))
+    return cuts.select("cls", "n", "k", cut(F.col("i")).alias("at"), F.xxhash64("numbers", F.slice("words", cut(F.col("i")) + 1, cut(F.col("i") + 1) - cut(F.col("i")))).alias("key"))
 
 
 def train_substrings(classes: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
-    """``(cls, n, at, numbers, seg)``: every run of so many words of each sequence."""
+    """``(cls, n, at, key)``: every run of so many words of each sequence."""
     n = F.size("words")
 
     def of(width: int) -> Column:
         places = F.when(n >= width, F.sequence(F.lit(0), n - width)).otherwise(F.array().cast("array<int>"))
-        return F.transform(places, lambda i: F.struct(i.alias("at"), F.array_join(F.slice("words", i + 1, F.lit(width)), " ").alias("seg")))
+        return F.transform(places, lambda i: F.struct(i.alias("at"), F.xxhash64("numbers", F.slice("words", i + 1, F.lit(width))).alias("key")))
 
     runs = F.flatten(F.array(*map(of, lengths)))
-    return classes.select("cls", n.alias("n"), _numbers(F.col("words")).alias("numbers"), F.explode(runs).alias("r")).select("cls", "n", "numbers", "r.at", "r.seg")
+    return classes.select("cls", n.alias("n"), F.explode(runs).alias("r")).select("cls", "n", "r.at", "r.key")
 
 
 def word_distance(a: list[str], b: list[str], most: int) -> int:
@@ -102,7 +109,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out.append((e, t, x, y))
         if out:
             e, t, x, y = map(list, zip(*out))
-            yield pa.RecordBatch.from_arrays([pa.array(e), pa.array(t), pa.array(x, pa.list_(pa.string())), pa.array(y, pa.list_(pa.string()))], ["e", "t", "only_e", "only_t"])
+            yield pa.RecordBatch.from_arrays([pa.array(e, pa.binary()), pa.array(t, pa.binary()), pa.array(x, pa.list_(pa.string())), pa.array(y, pa.list_(pa.string()))], ["e", "t", "only_e", "only_t"])
 
 
 def _minus(a: list[str], b: list[str]) -> list[str]:
@@ -126,11 +133,14 @@ def overlaps(train: DataFrame, evaluation: DataFrame, train_key: str = "id", tra
     """
     e, e_ids = _classes(evaluation, eval_key, eval_text)
     t, t_ids = _classes(train, train_key, train_text)
-    segments = eval_segments(e).select(F.col("cls").alias("e"), F.col("n").alias("m"), "k", F.col("at").alias("from"), "numbers", "seg")
-    runs = train_substrings(t, (1, 2)).select(F.col("cls").alias("t"), "n", "at", "numbers", "seg")
-    near = runs.join(segments, ["numbers", "seg"]).where((F.abs(F.col("n") - F.col("m")) <= F.col("k")) & (F.abs(F.col("at") - F.col("from")) <= F.col("k"))).select("e", "t").distinct()
-    pairs = near.join(e.select(F.col("cls").alias("e"), F.col("words").alias("a")), "e").join(t.select(F.col("cls").alias("t"), F.col("words").alias("b")), "t").select("e", "t", "a", "b")
-    checked = pairs.mapInArrow(_verify, "e string, t string, only_e array<string>, only_t array<string>")
+    # Only training classes with the numbers of some evaluation class can have a partner; the numbers of
+    # questions without any may be a hot key, so the join is salted.
+    some = salted_join(t, e.select("numbers").distinct(), ["numbers"], ["cls"], "left_semi")
+    segments = eval_segments(e).select(F.col("cls").alias("e"), F.col("n").alias("m"), "k", F.col("at").alias("from"), "key")
+    runs = train_substrings(some, (1, 2)).select(F.col("cls").alias("t"), "n", "at", "key")
+    near = runs.join(segments, "key").where((F.abs(F.col("n") - F.col("m")) <= F.col("k")) & (F.abs(F.col("at") - F.col("from")) <= F.col("k"))).select("e", "t").distinct()
+    pairs = near.join(e.select(F.col("cls").alias("e"), F.col("words").alias("a"), F.col("numbers").alias("na")), "e").join(t.select(F.col("cls").alias("t"), F.col("words").alias("b"), F.col("numbers").alias("nb")), "t").where("na = nb").select("e", "t", "a", "b")
+    checked = checkpoint(pairs.mapInArrow(_verify, "e binary, t binary, only_e array<string>, only_t array<string>"))
     same = _same_names(checked, e, t)
     return salted_join(salted_join(t_ids.withColumnsRenamed({"cls": "t", "id": "probe_id"}), same, ["t"], ["probe_id"]), e_ids.withColumnsRenamed({"cls": "e", "id": "question_id"}), ["e"], ["probe_id"]).select("probe_id", "question_id").distinct()
 
