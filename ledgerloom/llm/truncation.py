@@ -32,6 +32,7 @@ _FORMS = (
     ("command", re.compile(r"`[^`]+`|\$ \S.*")),
 )
 _WORD = re.compile(r"[^\W\d_]+")
+_INSIDE = re.compile(r"\d\.(?=\d)")
 
 
 def form_of(text: str) -> str:
@@ -109,7 +110,7 @@ class Model:
 
 
 def cuts(texts: list[str], limits: frozenset[int], seed: int = 7) -> list[str]:
-    """Each intact text cut once: at a random character, at a word's end, at a usual limit, with or without a mark."""
+    """Each intact text cut once: at a random character, at a word's end, inside a number, at a usual limit, with or without a mark."""
     r, out = random.Random(seed), []
     usual = sorted(limits)
     for t in texts:
@@ -123,6 +124,8 @@ def cuts(texts: list[str], limits: frozenset[int], seed: int = 7) -> list[str]:
             at = r.choice(fitting)
         elif way < 0.5:
             at = max(6, s.rfind(" ", 0, at + 1))
+        elif way < 0.6 and (inside := [m.end() for m in _INSIDE.finditer(s) if 6 < m.end() < len(s) - 1]):
+            at = r.choice(inside)
         piece = s[:at]
         if r.random() < 0.06:
             piece += r.choice(("&am", "&nbs", "&#82", "(as in", "([see", "“the", "[[Sources/src-1"))
@@ -172,7 +175,7 @@ def train(values: DataFrame, text: str, sample: int = SAMPLE) -> Model:
     named = values.where(F.col(text).isNotNull()).select(F.col(text).alias("t"))
     lengths = named.groupBy(F.length("t").alias("n")).agg(F.count(F.lit(1)).alias("c")).where("n <= 65536").collect()
     total = sum(r.c for r in lengths)
-    part = max(1, total // (4 * sample))
+    part = max(1, total // (2 * sample))
     hashed = named.withColumn("h", F.xxhash64("t")).where(F.pmod("h", F.lit(part)) == 0)
     chosen = hashed.groupBy("h").agg(F.min("t").alias("t")).orderBy("h").limit(sample).collect()
     return fit([r.t for r in chosen], usual_limits([(r.n, r.c) for r in lengths]))
