@@ -20,8 +20,8 @@ from ledgerloom.functions.skew import salted_join
 
 #: Edits allowed per word of the evaluation question: ten words of a question of twenty may come, go or change (twice).
 EDITS = 0.6
-#: A word that so few texts, or so small a share of them, hold is taken for a name.
-NAME_TEXTS, NAME_SHARE = 3, 0.001
+#: A word that occurs with so few sets of numbers, or so small a share of them, is taken for a name, however many copies hold it.
+NAME_TOPICS, NAME_SHARE = 3, 0.001
 
 
 def canonical_words(c: Column) -> Column:
@@ -147,9 +147,9 @@ def overlaps(train: DataFrame, evaluation: DataFrame, train_key: str = "id", tra
 
 def _same_names(checked: DataFrame, e: DataFrame, t: DataFrame) -> DataFrame:
     """The pairs in which not both sides have a rare word of their own."""
-    texts = e.select("cls", "words").unionByName(t.select("cls", "words"))
-    held = texts.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    rare = held.crossJoin(texts.agg(F.count(F.lit(1)).alias("texts"))).where(F.col("n") <= F.greatest(F.lit(NAME_TEXTS), F.col("texts") * NAME_SHARE)).select("word")
+    texts = e.select("numbers", "words").unionByName(t.select("numbers", "words"))
+    held = texts.select("numbers", F.explode("words").alias("word")).distinct().groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    rare = held.crossJoin(texts.agg(F.count_distinct("numbers").alias("topics"))).where(F.col("n") <= F.greatest(F.lit(NAME_TOPICS), F.col("topics") * NAME_SHARE)).select("word")
     own = checked.select("e", "t", F.explode(F.concat(F.transform("only_e", lambda w: F.struct(w.alias("word"), F.lit(1).alias("side"))), F.transform("only_t", lambda w: F.struct(w.alias("word"), F.lit(2).alias("side"))))).alias("o")).select("e", "t", "o.word", "o.side")
     other = own.join(rare, "word").groupBy("e", "t").agg(F.count_distinct("side").alias("sides")).where("sides = 2")
     return checked.select("e", "t").join(other, ["e", "t"], "left_anti")
