@@ -37,8 +37,8 @@ def words_of(text: str) -> list[str]:
     return text.translate(_ASCII).split() if plain else _WORD.findall(text.lower())
 
 
-def align(item: list[str], window: list[str]) -> tuple[int, int, int, int]:
-    """Best local alignment (Smith-Waterman; match 1, change, addition or loss -1): matched words, words that differ, begin and end in the window.
+def align(item: list[str], window: list[str]) -> list[bool]:
+    """Best local alignment (Smith-Waterman; match 1, change, addition or loss -1), as its steps: whether a word matched or differs.
 
     Two neighbouring words of the window that make up one word of the item, or the reverse, match as one.
     """
@@ -59,19 +59,40 @@ def align(item: list[str], window: list[str]) -> tuple[int, int, int, int]:
         np.maximum(t, 0, out=t)
         h[i] = np.maximum.accumulate(t + slope) - slope
     i, j = np.unravel_index(int(h.argmax()), h.shape)
-    end, same, other = int(j), 0, 0
+    steps: list[bool] = []
     while i and j and h[i, j] > 0:
         if h[i, j] == h[i - 1, j - 1] + 1 and b[j - 1] == a[i - 1]:
-            i, j, same = i - 1, j - 1, same + 1
+            i, j, match = i - 1, j - 1, True
         elif j > 1 and joined[j - 2] == a[i - 1] and h[i, j] == h[i - 1, j - 2] + 1:
-            i, j, same = i - 1, j - 2, same + 1
+            i, j, match = i - 1, j - 2, True
         elif h[i, j] == h[i - 1, j - 1] - 1:
-            i, j, other = i - 1, j - 1, other + 1
+            i, j, match = i - 1, j - 1, False
         elif h[i, j] == h[i - 1, j] - 1:
-            i, other = i - 1, other + 1
+            i, match = i - 1, False
         else:
-            j, other = j - 1, other + 1
-    return same, other, int(j), end
+            j, match = j - 1, False
+        steps.append(match)
+    return steps[::-1]
+
+
+def stretch(steps: list[bool]) -> tuple[int, int]:
+    """Matched and differing words of the part of an alignment with most matched words in which few enough differ.
+
+    An alignment may run on into a look-alike passage that follows; such a tail does not count against the rest.
+    """
+    same, other = sum(steps), len(steps) - sum(steps)
+    if other <= _allowed(same):
+        return same, other
+    best = (0, 0)
+    for i, first in enumerate(steps):
+        if not first:
+            continue
+        same = other = 0
+        for match in steps[i:]:
+            same, other = same + match, other + (not match)
+            if match and same > best[0] and other <= _allowed(same):
+                best = same, other
+    return best
 
 
 def _allowed(same: int) -> float:
@@ -122,8 +143,8 @@ class Items:
                 continue
             item, best = self.words[i], (0, 0)
             for low, high in _groups(sorted(at - p for at, p in pairs), len(item)):
-                same, other, _, _ = align(item, w[max(0, low - len(item) // 2) : high + len(item) + len(item) // 2 + 1])
-                if other <= _allowed(same) and same > best[0]:
+                same, other = stretch(align(item, w[max(0, low - len(item) // 2) : high + len(item) + len(item) // 2 + 1]))
+                if same > best[0]:
                     best = same, other
             if best[0] >= SHARE * len(item):
                 out.append((i, *best))

@@ -47,8 +47,9 @@ def sentence(r, n=24):
 
 def test_alignment_by_hand():
     item = "a b c d e f".split()
-    assert leakage.align(item, "x a b q c d y".split())[:2] == (4, 1)
-    assert leakage.align("whole words here".split(), "who le words here".split())[0] == 3
+    assert leakage.align(item, "x a b q c d y".split()) == [True, True, False, True, True]
+    assert leakage.align("whole words here".split(), "who le words here".split()) == [True] * 3
+    assert leakage.stretch([True] * 20 + [True, False, False] * 5) == (23, 4)
 
 
 def test_leaks_in_every_disguise(spark):
