@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 
@@ -11,13 +12,23 @@ from pyspark.sql import SparkSession
 _SHIPPED: set[str] = set()
 
 
+def _folder(spark: SparkSession) -> str:
+    """A folder for the archive: below the session's shared checkpoint folder if that is a mounted path, else the driver's own."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or ""
+    if shared.startswith(("file:", "/")):
+        path = os.path.join(re.sub("^file:/*", "/", shared), f"package-{spark.sparkContext.applicationId}")
+        os.makedirs(path, exist_ok=True)
+        return path
+    return tempfile.mkdtemp(prefix="ledgerloom-")
+
+
 def ship(spark: SparkSession) -> None:
     """Send the package to the session's executors, once; Spark serves the file from the driver."""
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    path = os.path.join(tempfile.mkdtemp(prefix="ledgerloom-"), "ledgerloom_package.zip")
+    path = os.path.join(_folder(spark), "ledgerloom_package.zip")
     with zipfile.ZipFile(path, "w") as z:
         for folder, _, names in os.walk(root):
             for name in names:
