@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.plans import general, knowledge, links, segmentation, streams
+from ledgerloom.plans import assembly, general, knowledge, links, segmentation, streams
 
-MODULES = (general, knowledge, links, segmentation, streams)
+MODULES = (general, knowledge, links, segmentation, assembly, streams)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
