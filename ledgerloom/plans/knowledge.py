@@ -118,10 +118,10 @@ def quote_verification(s, d):
 
 
 def split_disjointness(s, d):
-    """Texts and ids that two evaluation splits share."""
-    q = table(s, d, "questions").where("question IS NOT NULL AND split IS NOT NULL").select("split", "id", folded(F.col("question")).alias("t")).distinct()
-    x, y = q.alias("x"), q.alias("y")
-    return x.join(y, F.expr("x.t = y.t AND x.split < y.split")).select(F.col("x.split").alias("split_a"), F.col("y.split").alias("split_b"), F.col("x.id").alias("id_a"), F.col("y.id").alias("id_b"))
+    """Question texts that several evaluation splits hold (empty where splits are disjoint): one row per text with its splits and ids."""
+    q = table(s, d, "questions").where("question IS NOT NULL AND split IS NOT NULL").select("split", "id", folded(F.col("question")).alias("t"))
+    g = q.groupBy(F.sha2("t", 256).alias("text_hash")).agg(F.count_distinct("split").alias("n_splits"), F.count_distinct("id").alias("n_ids"), F.min("split").alias("first_split"), F.max("split").alias("last_split"))
+    return g.where("n_splits > 1")
 
 
 def fact_presence(s, d):

@@ -106,7 +106,7 @@ try_cast(nullif(regexp_extract(anchor, '^(?:page=|L|seg-)(\d+)(?:=L\d+)?$', 1),
     "term_profile": f"WITH c AS (SELECT DISTINCT claim_id, claim_text FROM claims WHERE claim_text IS NOT NULL), t AS (SELECT term, count(*) AS df FROM (SELECT claim_id, unnest(list_distinct({_TERMS.format('claim_text')})) AS term FROM c) GROUP BY term HAVING count(*) > 1) SELECT term, df, round(ln((n - df + 0.5) / (df + 0.5) + 1), 6) AS idf FROM t, (SELECT count(*) AS n FROM c)",
     "quote_verification": f"""WITH a AS (SELECT claim_id, quote, i AS item_no, l[i].quote AS q FROM (SELECT claim_id, quote, source_anchors AS l, unnest(range(1, len(source_anchors) + 1)) AS i FROM claims WHERE claim_id IS NOT NULL) WHERE l[i].quote IS NOT NULL)
 SELECT DISTINCT claim_id, item_no::INTEGER AS item_no, CASE WHEN quote IS NULL THEN 'unverifiable' WHEN contains(quote, q) THEN 'exact' WHEN length({_NORM.format('q')}) >= 8 AND contains({_NORM.format('quote')}, {_NORM.format('q')}) THEN 'normalised' ELSE 'failed' END AS verdict FROM a""",
-    "split_disjointness": f"WITH q AS (SELECT DISTINCT split, id, {_FOLD.format('question')} AS t FROM questions WHERE question IS NOT NULL AND split IS NOT NULL) SELECT x.split AS split_a, y.split AS split_b, x.id AS id_a, y.id AS id_b FROM q x JOIN q y ON x.t = y.t AND x.split < y.split",
+    "split_disjointness": f"SELECT sha256({_FOLD.format('question')}) AS text_hash, count(DISTINCT split) AS n_splits, count(DISTINCT id) AS n_ids, min(split) AS first_split, max(split) AS last_split FROM questions WHERE question IS NOT NULL AND split IS NOT NULL GROUP BY 1 HAVING count(DISTINCT split) > 1",
     "fact_presence": f"""WITH q AS (SELECT DISTINCT id, {_SRC.format('r')} AS source_id, fact FROM (SELECT id, r, unnest(expected_answer_facts) AS fact FROM (SELECT id, unnest(required_source_ids) AS r, expected_answer_facts FROM questions WHERE id IS NOT NULL)) WHERE fact IS NOT NULL AND {_SRC.format('r')} IS NOT NULL),
 w AS (SELECT id, source_id, fact, unnest(list_distinct(list_filter({_TERMS.format('fact')}, lambda x: length(x) > 3))) AS term FROM q),
 c AS (SELECT DISTINCT source_id, unnest({_TERMS.format('claim_text')}) AS term FROM (SELECT {_SRC.format('u')} AS source_id, claim_text FROM (SELECT unnest(source_ids) AS u, claim_text FROM claims WHERE claim_text IS NOT NULL)) WHERE source_id IS NOT NULL),

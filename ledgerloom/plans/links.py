@@ -148,11 +148,10 @@ def single_source_concepts(s, d):
     return concept_sources(s, d).groupBy("owner").agg(F.count(F.lit(1)).alias("n"), F.min("item").alias("item")).where("n = 1").select("owner", "item")
 
 
-def contradiction_pairs(s, d):
-    """Contested claims of one concept that cite a source in common."""
-    c = table(s, d, "claims").where("status = 'contested' AND concept IS NOT NULL AND claim_id IS NOT NULL").select("claim_id", spelling_key(F.col("concept")).alias("k"), F.explode(F.transform("source_ids", source_key)).alias("item")).where("item IS NOT NULL").distinct()
-    x, y = c.alias("x"), c.alias("y")
-    return x.join(y, F.expr("x.k = y.k AND x.item = y.item AND x.claim_id < y.claim_id")).groupBy(F.col("x.claim_id").alias("a"), F.col("y.claim_id").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
+def contradiction_groups(s, d):
+    """Concepts with contested claims that cite a source in common: how many claims, per concept and source (no pairs are listed)."""
+    c = table(s, d, "claims").where("status = 'contested' AND concept IS NOT NULL AND claim_id IS NOT NULL").select("claim_id", spelling_key(F.col("concept")).alias("concept"), F.explode(F.transform("source_ids", source_key)).alias("source_id")).where("source_id IS NOT NULL")
+    return c.groupBy("concept", "source_id").agg(F.count_distinct("claim_id").alias("n_claims"), F.min("claim_id").alias("first")).where("n_claims > 1")
 
 
 def claim_source_states(s, d):
@@ -165,7 +164,7 @@ def claim_source_states(s, d):
     return worst.groupBy(name.alias("state")).agg(F.count(F.lit(1)).alias("n_claims"))
 
 
-QUERIES = {f.__name__: f for f in (graph_edges, degree_audit, hub_outliers, lineage_roots, independent_origins, blast_radius, concept_traverse, concept_projection, cocitation_pmi, source_jaccard, triadic_closure, conceptual_gravity, spreading_activation, missing_backlinks, link_candidates, link_components, concept_communities, community_modularity, link_betweenness, link_eigenvector, single_source_concepts, contradiction_pairs, claim_source_states)}
+QUERIES = {f.__name__: f for f in (graph_edges, degree_audit, hub_outliers, lineage_roots, independent_origins, blast_radius, concept_traverse, concept_projection, cocitation_pmi, source_jaccard, triadic_closure, conceptual_gravity, spreading_activation, missing_backlinks, link_candidates, link_components, concept_communities, community_modularity, link_betweenness, link_eigenvector, single_source_concepts, contradiction_groups, claim_source_states)}
 
 _KEY = r"trim(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}\p{{M}}]+', ' ', 'g'))"
 _SRC = "nullif('src-' || regexp_extract(lower({0}), '(?:^|[^0-9a-z])([0-9a-f]{{10}})(?:$|[^0-9a-z])', 1), 'src-')"
@@ -219,6 +218,6 @@ start AS (SELECT DISTINCT id AS node FROM registry WHERE lower(trim(source_statu
     "link_components": _BASE + ", r(a, b) AS (SELECT node, other FROM two UNION SELECT r.a, two.other FROM r JOIN two ON two.node = r.b) SELECT a AS node, least(a, min(b)) AS label FROM r GROUP BY a",
     "community_modularity": _BASE + ", w AS (SELECT split_part(a, ' ', 1) AS ca, split_part(b, ' ', 1) AS cb, weight FROM proj), m AS (SELECT sum(weight) AS m FROM w), c AS (SELECT c, sum(i) AS i, sum(d) AS d FROM (SELECT ca AS c, CASE WHEN ca = cb THEN weight ELSE 0 END AS i, weight AS d FROM w UNION ALL SELECT cb, 0, weight FROM w) GROUP BY c) SELECT round(sum(i / m - pow(d / (2 * m), 2)), 4) AS modularity FROM c, m",
     "single_source_concepts": _BASE + "SELECT owner, min(item) AS item FROM cs GROUP BY owner HAVING count(*) = 1",
-    "contradiction_pairs": f"WITH c AS (SELECT DISTINCT claim_id, k, {_SRC.format('u')} AS item FROM (SELECT claim_id, {_KEY.format('concept')} AS k, unnest(source_ids) AS u FROM claims WHERE status = 'contested' AND concept IS NOT NULL AND claim_id IS NOT NULL) WHERE {_SRC.format('u')} IS NOT NULL) SELECT x.claim_id AS a, y.claim_id AS b, count(*) AS shared FROM c x JOIN c y ON x.k = y.k AND x.item = y.item AND x.claim_id < y.claim_id GROUP BY ALL",
+    "contradiction_groups": f"SELECT concept, source_id, count(DISTINCT claim_id) AS n_claims, min(claim_id) AS first FROM (SELECT claim_id, concept, {_SRC.format('u')} AS source_id FROM (SELECT claim_id, {_KEY.format('concept')} AS concept, unnest(source_ids) AS u FROM claims WHERE status = 'contested' AND concept IS NOT NULL AND claim_id IS NOT NULL)) WHERE source_id IS NOT NULL GROUP BY ALL HAVING count(DISTINCT claim_id) > 1",
     "claim_source_states": f"WITH c AS (SELECT DISTINCT claim_id, {_SRC.format('u')} AS item FROM (SELECT claim_id, unnest(CASE WHEN len(coalesce(source_ids, [])) = 0 THEN [NULL] ELSE source_ids END) AS u FROM claims WHERE claim_id IS NOT NULL)), w AS (SELECT claim_id, max(CASE WHEN c.item IS NULL THEN 0 WHEN status IS NULL THEN 2 WHEN status IN ('permission-revoked', 'deleted-from-origin', 'do-not-use', 'revoked') THEN 3 ELSE 1 END) AS w FROM c LEFT JOIN {_LATEST} r ON r.item = c.item GROUP BY claim_id) SELECT ['unsupported', 'registered', 'unknown', 'flagged'][w + 1] AS state, count(*) AS n_claims FROM w GROUP BY ALL",
 }
