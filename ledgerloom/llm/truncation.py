@@ -95,7 +95,7 @@ def intact(text: str) -> bool:
         return False
     if core[-1] in ".!?":
         return bool(re.search(r"(?:[^\W\d_]{2,}|\d+\.\d+\.\d+|[A-Z]-\d{3,}|\w/\w|\))[.!?]+$", core))
-    return len(core) < len(t) and bool(re.search(r"\[\d+\]$|\(\d+(?:\.\d+)+\)$", t)) and bool(re.search(r"[^\W\d_]{2,}$", core)) and len(core) > 20
+    return len(core) < len(t) and bool(re.search(r"\[\d+\]$|\(\d+(?:\.\d+)+\)$", t)) and bool(re.search(r"(?:[^\W\d_]{2,}|\w/\w|[A-Z]{2,}-\d{4,}|\d+\.\d+\.\d+)$", core)) and len(core) > 20
 
 
 @dataclass(frozen=True)

@@ -88,7 +88,7 @@ def test_items_in_blocks_and_copies_of_items(spark, monkeypatch):
 
 WHOLE = [
     "The queue was full, so the team moved it in 4.2.19.", "Most readers keep the log [12]", "The fix was small. […]", "“The node is old.”", "Table 4: Verified Lock by Linear Runtime", "| pager | 440 MB | 4.6.6 |", "pager | 6660 rows/s | 237",
-    "cache.limit = 30s", "src/main/lock_table.rs", "`tool --flag 1.2.3`", "Is the lock still held?", "The lock (see 1.2.3) was held (1.21.9)", "Section 4.8 Tentative Tracker", "It took about 12 rows/s [sic].",
+    "cache.limit = 30s", "src/main/lock_table.rs", "`tool --flag 1.2.3`", "Is the lock still held?", "The lock (see 1.2.3) was held (1.21.9)", "Section 4.8 Tentative Tracker", "The readers changed the older queue before they accepted NIS-4604869 [24]", "It took about 12 rows/s [sic].",
 ]
 CUT = ["The queue was full, so the te", "The queue was full, so the", "“The node is", "The older cache was exposed whe…", "The lock was held &am", "It was changed before Nisen 2.", "It took about 105.", "The lock was held (as in", "The older scheduler was […] the t\x1a", "The fix was sm�"]
 
@@ -100,6 +100,7 @@ def corpus(n=1500):
         lambda: f"The {r.choice(nouns)} was full, so the team moved the {r.choice(nouns)} in {r.randrange(9)}.{r.randrange(20)}.{r.randrange(40)}.",
         lambda: f"{r.choice(names)} {r.randrange(9)}.{r.randrange(20)}.{r.randrange(40)} changed the older {r.choice(nouns)} and the {r.choice(nouns)} it depends on.",
         lambda: f"According to {r.choice(names).upper()[:3]}-{r.randrange(10**6)}, the {r.choice(nouns)} took {r.randrange(900)}.{r.randrange(9)} rows/s after the {r.choice(nouns)} was reached [{r.randrange(40)}]",
+        lambda: f"{r.choice(names)} changed the {r.choice(nouns)} before they accepted {r.choice(names).upper()[:3]}-{r.randrange(10**5, 10**7)} [{r.randrange(40)}]",
         lambda: f"“Several readers tested the {r.choice(nouns)}, but the {r.choice(nouns)} stayed old.”",
         lambda: f"Table {r.randrange(30)}: {r.choice(nouns).title()} by {r.choice(nouns).title()}",
         lambda: f"| {r.choice(nouns)} | {r.randrange(900)} MB | {r.randrange(9)}.{r.randrange(20)}.1 |",
