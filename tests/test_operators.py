@@ -197,3 +197,12 @@ def test_salted_join_equals_a_plain_one(spark):
     few = spark.createDataFrame([("hot", 1), ("k3", 2), ("k9", 3), (None, 4)], "k string, y int")
     for how in ("inner", "left", "left_semi", "left_anti"):
         assert Counter(map(tuple, salted_join(many, few, ["k"], ["x"], how).collect())) == Counter(map(tuple, many.join(few, "k", how).collect()))
+
+
+def test_spread_keeps_rows_and_leaves_wide_plans(spark):
+    from ledgerloom.functions.spread import spread
+
+    one = spark.range(100).coalesce(1)
+    assert spread(one).rdd.getNumPartitions() == 4 and spread(one).count() == 100
+    wide = spark.range(0, 100, 1, 3)
+    assert spread(wide) is wide
