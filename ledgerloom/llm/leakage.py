@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.spread import spread
+
 #: Words of a seed, and the number of items that may share one.
 SEED_WORDS, SEED_ITEMS = 3, 3
 #: Share of an item's words that must be found in one stretch, and the share of words in that stretch that may differ.
@@ -189,7 +191,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, key: str = "doc_id", te
                     a, b, c, d = map(list, zip(*rows))
                     yield pa.RecordBatch.from_arrays([pa.array(a, batch.schema.field(0).type), pa.array(b), pa.array(c, pa.int32()), pa.array(d, pa.int32())], ["doc_id", "item_id", "matched", "differing"])
 
-        parts.append(documents.where(F.col(text).isNotNull()).select(key, text).mapInArrow(run, kinds))
+        parts.append(spread(documents.where(F.col(text).isNotNull()).select(key, text)).mapInArrow(run, kinds))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

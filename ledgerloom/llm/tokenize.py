@@ -17,6 +17,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from ledgerloom.functions.spread import spread
+
 #: Fixed value: the pre-token pattern of the vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -123,7 +125,7 @@ def encode_corpus(documents: DataFrame, vocabulary: str, key: str = "doc_id", te
             flat = pa.array(np.concatenate([_NONE, *ids]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), flat)], ["doc_id", "ids"])
 
-    return documents.select(key, text).mapInArrow(run, f"doc_id {kind}, ids array<int>")
+    return spread(documents.select(key, text)).mapInArrow(run, f"doc_id {kind}, ids array<int>")
 
 
 _NONE = np.zeros(0, dtype=np.int32)
