@@ -7,8 +7,10 @@ distance of their counts is never more than that.
 
 Counts alone would leave a fixed share of all pairs of a concept to compare, so the cells of the grid
 carry words: sorted by frequency, two such texts have their first common words near the front. A cell
-is a concept with one rare word, or with two or three words where one is too frequent. Every pair at or
-above the threshold shares a cell, whatever the cells' sizes; nothing is capped.
+is a concept with one rare word, or with two or three words where one is too frequent. Texts so short
+that two words (or one) may be all they share with a partner have their two-word (one-word) cells too,
+however frequent the words are. Every pair at or above the threshold shares a cell, whatever the cells'
+sizes; nothing is capped.
 """
 
 from __future__ import annotations
@@ -80,13 +82,15 @@ class Cells:
         t, df = flat[order], df[order].astype(float)
         place = np.arange(len(t)) - np.repeat(np.cumsum(n) - n, n)
         up, down = self.similarity
-        prefix = (n - -(-n * up // down) + 1)[row]
+        needed = -(-n * up // down)
+        prefix, needed = (n - needed + 1)[row], needed[row]
         share = _lookup(self.homes, self.home_n, home)[row] / self.total
         first = _mix(home[row], t)
         start = place < prefix
         light = df * share <= self.cell
         single = np.flatnonzero(start & light & seen(self.repeated, t))
-        out = [(row[single], first[single], place[single])]
+        alone = np.flatnonzero(start & ~light & (needed <= 1))
+        out = [(row[x], first[x], place[x]) for x in (single, alone)]
         heavy = np.flatnonzero(start & ~light)
         for step in range(1, int(prefix.max(initial=0)) + 1):
             i = heavy[heavy + step < len(t)]
@@ -97,7 +101,8 @@ class Cells:
                 break
             second = _mix(first[i], t[j])
             rare = df[i] * df[j] / self.total * share[i] <= self.cell
-            out.append((row[i[rare]], second[rare], place[j[rare]] - 1))
+            cells = rare | (needed[i] <= 2)
+            out.append((row[i[cells]], second[cells], place[j[cells]] - 1))
             i2, j2, s2 = i[~rare], j[~rare], second[~rare]
             for further in range(1, int(prefix.max(initial=0)) + 2):
                 a, k, s = i2, j2 + further, s2
@@ -118,7 +123,7 @@ class Cells:
         row, key, q = self.of(b.column(1).to_numpy(), n, flat)
         low, high = embed(n, flat)
         take = pa.array(row)
-        return pa.RecordBatch.from_arrays([pa.array(key), b.column(0).take(take), pa.array(n[row].astype(np.int16)), pa.array(np.minimum(q, 32767).astype(np.int16)), pa.array(low[row]), pa.array(high[row])], ["key", "cls", "n", "q", "low", "high"])
+        return pa.RecordBatch.from_arrays([pa.array(key), b.column(0).take(take), pa.array(n[row].astype(np.int32)), pa.array(q.astype(np.int32)), pa.array(low[row]), pa.array(high[row])], ["key", "cls", "n", "q", "low", "high"])
 
 
 def embed(n: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -163,7 +168,7 @@ def similar_pairs(classes: DataFrame, similarity: tuple[int, int] = SIMILARITY,
             if b.num_rows:
                 yield cells.batch(b)
 
-    keys = classes.select("cls", "home", "words").mapInArrow(run, "key bigint, cls binary, n smallint, q smallint, low bigint, high bigint")
+    keys = classes.select("cls", "home", "words").mapInArrow(run, "key bigint, cls binary, n int, q int, low bigint, high bigint")
     a, b = keys.alias("a"), keys.alias("b")
     both = F.expr("cast(a.n AS int) + b.n")
     shared = F.expr(f"cast(ceil((cast(a.n AS int) + b.n) * {up} / {up + down}) AS int)")

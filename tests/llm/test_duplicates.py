@@ -95,6 +95,18 @@ def test_manhattan_is_a_lower_bound():
         assert d <= len(set(a.tolist()) ^ set(c.tolist()))
 
 
+def test_short_texts_of_frequent_words_and_very_long_texts(spark, monkeypatch):
+    rows = [("a", "k", "x y"), ("b", "k", "x y z"), ("c", "k", "x"), ("d", "k", "y"), ("e", "k", "z w"), ("f", "k", "x z w")] + [(f"m{i}", "k", f"x y z w v{i} u{i} t{i} s{i} r{i} q{i}") for i in range(8)]
+    want, _ = brute_groups(rows)
+    assert ("a", "b") in want and ("e", "f") in want
+    schema = "claim_id string, concept string, claim_text string"
+    for cell in (200, 1, 0):
+        c = neardup.fingerprints(spark.createDataFrame(rows, schema), "claim_id", "concept", "claim_text").groupBy("cls").agg(F.first("home").alias("home"), F.first("words").alias("words"))
+        assert neardup.similar_pairs(neardup.checkpoint(c), cell=cell).count() == 2
+    long = " ".join(f"w{i}" for i in range(33_000))
+    assert pairs(neardup.group_pairs(spark.createDataFrame([("l", "k", long), ("m", "k", long + " more")], schema))) == {("l", "m")}
+
+
 # Formatting duplicates
 
 REG = "id string, source string, title string, canon string"
