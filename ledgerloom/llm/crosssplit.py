@@ -20,31 +20,37 @@ from ledgerloom.functions.skew import salted_join
 
 #: Edits allowed per word of the evaluation question: ten words of a question of twenty may come, go or change (twice).
 EDITS = 0.6
-#: A word that occurs with so few sets of numbers, or so small a share of them, is taken for a name, however many copies hold it.
+#: A word on so few topics, or so small a share of them, may be a name, however many copies hold it. A set of numbers is a topic; so is each question without numbers.
 NAME_TOPICS, NAME_SHARE = 3, 0.001
+#: Words before and after a word that tell its place in a question.
+AROUND = 2
 
 
-def canonical_words(c: Column) -> Column:
-    """Sorted runs of letters and of digits, lower case; null and wordless texts give null."""
-    words = F.array_sort(F.regexp_extract_all(F.lower(c), F.lit(r"\p{L}[\p{L}\p{M}]*|\p{N}+"), F.lit(0)))
+def ordered_words(c: Column) -> Column:
+    """Runs of letters and of digits in the order of the text, lower case; null and wordless texts give null."""
+    words = F.regexp_extract_all(F.lower(c), F.lit(r"\p{L}[\p{L}\p{M}]*|\p{N}+"), F.lit(0))
     return F.when(F.size(words) > 0, words)
 
 
+def canonical_words(c: Column) -> Column:
+    """The same words, sorted."""
+    return F.array_sort(ordered_words(c))
+
+
 def _numbers(words: Column) -> Column:
     """Hash of the version and ticket numbers, which must all be the same: they lead every join key."""
     return F.xxhash64(F.filter(words, lambda w: w.rlike(r"^\p{N}")))
 
 
 def _named(rows: DataFrame, key: str, text: str) -> DataFrame:
-    words = canonical_words(F.col(text))
-    named = rows.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), words.alias("words")).where("words IS NOT NULL")
+    named = rows.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), ordered_words(F.col(text)).alias("ordered")).where("ordered IS NOT NULL").withColumn("words", F.array_sort("ordered"))
     return named.withColumn("cls", F.unhex(F.md5(F.array_join("words", " "))))
 
 
 def _classes(rows: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """Distinct word sequences with their numbers, and which ids have them."""
+    """Distinct word sequences with their numbers and the least of their orders, and which ids have them."""
     named = _named(rows, key, text)
-    return checkpoint(named.groupBy("cls").agg(F.first("words").alias("words")).withColumn("numbers", _numbers(F.col("words")))), named.select("cls", "id").distinct()
+    return checkpoint(named.groupBy("cls").agg(F.first("words").alias("words"), F.min("ordered").alias("ordered")).withColumn("numbers", _numbers(F.col("words")))), named.select("cls", "id").distinct()
 
 
 def _edits(n: Column) -> Column:
@@ -98,18 +104,32 @@ def _misspelt(a: str, b: str) -> bool:
     return word_distance(list(a), list(b), 4) <= 4 and (len(a) != len(b) or sum(x != y for x, y in zip(a, b)) <= 2) or sorted(a) == sorted(b)
 
 
+def _places(words: list[str], w: str) -> list[tuple[set[str], set[str]]]:
+    """The words around each occurrence of a word: those before and those after it."""
+    return [(set(words[max(0, i - AROUND) : i]), set(words[i + 1 : i + 1 + AROUND])) for i, x in enumerate(words) if x == w]
+
+
+def replaced(a: list[str], b: list[str]) -> list[tuple[str, str]]:
+    """Words only in ``a`` with words only in ``b`` that stand in their place and are no misspellings; both lists in the order of the texts.
+
+    Two words stand in the same place if they share a word close before or close behind them.
+    """
+    only_a, only_b = _minus(a, b), _minus(b, a)
+    x = [w for w in only_a if not any(_misspelt(w, v) for v in only_b)]
+    y = [w for w in only_b if not any(_misspelt(w, v) for v in only_a)]
+    return [(v, w) for v in x for w in y if any(p & r or q & s for p, q in _places(a, v) for r, s in _places(b, w))]
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kind = pa.list_(pa.struct([("x", pa.string()), ("y", pa.string())]))
     for batch in batches:
         out = []
         for e, t, a, b in zip(*(c.to_pylist() for c in batch.columns)):
-            if word_distance(a, b, int(len(a) * EDITS)) <= int(len(a) * EDITS):
-                only_a, only_b = _minus(a, b), _minus(b, a)
-                x = [w for w in only_a if not any(_misspelt(w, v) for v in only_b)]
-                y = [w for w in only_b if not any(_misspelt(w, v) for v in only_a)]
-                out.append((e, t, x, y))
+            if word_distance(sorted(a), sorted(b), int(len(a) * EDITS)) <= int(len(a) * EDITS):
+                out.append((e, t, [{"x": x, "y": y} for x, y in replaced(a, b)]))
         if out:
-            e, t, x, y = map(list, zip(*out))
-            yield pa.RecordBatch.from_arrays([pa.array(e, pa.binary()), pa.array(t, pa.binary()), pa.array(x, pa.list_(pa.string())), pa.array(y, pa.list_(pa.string()))], ["e", "t", "only_e", "only_t"])
+            e, t, r = map(list, zip(*out))
+            yield pa.RecordBatch.from_arrays([pa.array(e, pa.binary()), pa.array(t, pa.binary()), pa.array(r, kind)], ["e", "t", "replaced"])
 
 
 def _minus(a: list[str], b: list[str]) -> list[str]:
@@ -128,8 +148,8 @@ def overlaps(train: DataFrame, evaluation: DataFrame, train_key: str = "id", tra
 
     Rows of equal word sequences are one class; classes are joined on segment and numbers, verified once
     per pair, and their ids put back at the end (a pair per id is what is asked for). A pair is dropped
-    where both sides hold a word of their own that is neither misspelt nor more than rare: that is
-    another name. Null, empty and wordless questions never match; repeated rows count once.
+    where a rare word of one side stands in the place of a rare word of the other and is no misspelling
+    of it: that is another name. Rare words that were only added or dropped do not count. Null, empty and wordless questions never match; repeated rows count once.
     """
     e, e_ids = _classes(evaluation, eval_key, eval_text)
     t, t_ids = _classes(train, train_key, train_text)
@@ -139,19 +159,20 @@ def overlaps(train: DataFrame, evaluation: DataFrame, train_key: str = "id", tra
     segments = eval_segments(e).select(F.col("cls").alias("e"), F.col("n").alias("m"), "k", F.col("at").alias("from"), "key")
     runs = train_substrings(some, (1, 2)).select(F.col("cls").alias("t"), "n", "at", "key")
     near = runs.join(segments, "key").where((F.abs(F.col("n") - F.col("m")) <= F.col("k")) & (F.abs(F.col("at") - F.col("from")) <= F.col("k"))).select("e", "t").distinct()
-    pairs = near.join(e.select(F.col("cls").alias("e"), F.col("words").alias("a"), F.col("numbers").alias("na")), "e").join(t.select(F.col("cls").alias("t"), F.col("words").alias("b"), F.col("numbers").alias("nb")), "t").where("na = nb").select("e", "t", "a", "b")
-    checked = checkpoint(pairs.mapInArrow(_verify, "e binary, t binary, only_e array<string>, only_t array<string>"))
+    pairs = near.join(e.select(F.col("cls").alias("e"), F.col("ordered").alias("a"), F.col("numbers").alias("na")), "e").join(t.select(F.col("cls").alias("t"), F.col("ordered").alias("b"), F.col("numbers").alias("nb")), "t").where("na = nb").select("e", "t", "a", "b")
+    checked = checkpoint(pairs.mapInArrow(_verify, "e binary, t binary, replaced array<struct<x:string,y:string>>"))
     same = _same_names(checked, e, t)
     return salted_join(salted_join(t_ids.withColumnsRenamed({"cls": "t", "id": "probe_id"}), same, ["t"], ["probe_id"]), e_ids.withColumnsRenamed({"cls": "e", "id": "question_id"}), ["e"], ["probe_id"]).select("probe_id", "question_id").distinct()
 
 
 def _same_names(checked: DataFrame, e: DataFrame, t: DataFrame) -> DataFrame:
-    """The pairs in which not both sides have a rare word of their own."""
-    texts = e.select("numbers", "words").unionByName(t.select("numbers", "words"))
-    held = texts.select("numbers", F.explode("words").alias("word")).distinct().groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    rare = held.crossJoin(texts.agg(F.count_distinct("numbers").alias("topics"))).where(F.col("n") <= F.greatest(F.lit(NAME_TOPICS), F.col("topics") * NAME_SHARE)).select("word")
-    own = checked.select("e", "t", F.explode(F.concat(F.transform("only_e", lambda w: F.struct(w.alias("word"), F.lit(1).alias("side"))), F.transform("only_t", lambda w: F.struct(w.alias("word"), F.lit(2).alias("side"))))).alias("o")).select("e", "t", "o.word", "o.side")
-    other = own.join(rare, "word").groupBy("e", "t").agg(F.count_distinct("side").alias("sides")).where("sides = 2")
+    """The pairs in which no rare word is replaced by another rare word."""
+    topic = F.when(F.exists("words", lambda w: w.rlike(r"^\p{N}")), F.col("numbers")).otherwise(F.xxhash64("cls"))
+    texts = e.select("cls", "numbers", "words").unionByName(t.select("cls", "numbers", "words")).select(topic.alias("topic"), "words")
+    held = texts.select("topic", F.explode("words").alias("word")).distinct().groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    rare = held.crossJoin(texts.agg(F.count_distinct("topic").alias("topics"))).where(F.col("n") <= F.greatest(F.lit(NAME_TOPICS), F.col("topics") * NAME_SHARE)).select("word")
+    swaps = checked.select("e", "t", F.explode("replaced").alias("r")).select("e", "t", "r.x", "r.y")
+    other = swaps.join(rare.withColumnRenamed("word", "x"), "x").join(rare.withColumnRenamed("word", "y"), "y").select("e", "t").distinct()
     return checked.select("e", "t").join(other, ["e", "t"], "left_anti")
 
 

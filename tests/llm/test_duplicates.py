@@ -169,6 +169,16 @@ def test_overlaps(spark):
     assert crosssplit.overlaps(t.limit(0), e).count() == 0 and crosssplit.overlaps(t, e.limit(0)).count() == 0
 
 
+def test_added_and_ordinary_words_are_no_names(spark):
+    free = "Where does the operator keep the old journal while biranan drains its queue under load?"
+    dated = "What evidence shows that sinozelt drained more mixed cursor than KAL-8463234 claimed?"
+    probes = [("word", free.replace("old", "worn")), ("added", free.replace("the old journal", "old journal") + " (short answer)"), ("name", free.replace("biranan", "zoferat")), ("short", dated.replace("more mixed ", "") + " (short answer)"), ("other", dated.replace("sinozelt", "zoferat"))]
+    fill = [(f"f{i}", f"Which {x} owner of part{x} saw the old and the worn gauge break down?") for i, x in enumerate("abcdef")]
+    t = spark.createDataFrame([(*p, "s", "clash") for p in probes + fill], TRAIN)
+    e = spark.createDataFrame([("free", free, "golden"), ("dated", dated, "golden")], EVAL)
+    assert pairs(crosssplit.overlaps(t, e)) == {("word", "free"), ("added", "free"), ("short", "dated")}
+
+
 def test_every_pair_within_the_distance_is_found(spark, monkeypatch):
     monkeypatch.setattr(crosssplit, "NAME_TOPICS", 0)
     r = random.Random(11)
