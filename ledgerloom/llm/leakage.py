@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.spread import spread
 
-#: Words of a seed, and the number of items that may share one.
+#: Words of a seed, and the number of items that may share one that is kept in any case.
 SEED_WORDS, SEED_ITEMS = 3, 3
 #: Share of an item's words that must be found in one stretch, and the share of words in that stretch that may differ.
 SHARE, CHANGED = 0.5, 0.15
@@ -115,12 +115,38 @@ class Items:
         held = Counter()
         for k, v in self.seeds.items():
             held[k] = len({i for i, _ in v})
-        # Copies of an item share all their seeds, so an item keeps its rarest ones where none is rare.
-        least = {i: min(held[tuple(w[k : k + min(SEED_WORDS, len(w))])] for k in range(len(w) - min(SEED_WORDS, len(w)) + 1)) for i, w in self.words.items()}
-        self.seeds = {k: kept for k, v in self.seeds.items() if (kept := [(i, p) for i, p in v if held[k] <= max(SEED_ITEMS, least[i])])}
+        self.seeds = {k: kept for k, v in self.seeds.items() if (kept := [(i, p) for i, p in v if held[k] <= SEED_ITEMS])}
+        # What many items share has no rare seeds: every half of an item keeps its rarest ones, enough to outlast the words that may differ.
+        for i, w in self.words.items():
+            for k in self._rarest(w, held):
+                g = tuple(w[k : k + min(SEED_WORDS, len(w))])
+                if held[g] > SEED_ITEMS:
+                    self.seeds.setdefault(g, []).append((i, k))
+        vocabulary = {x for w in self.words.values() for x in w}
+        self.vocabulary, self.heads = vocabulary, {x[:n] for x in vocabulary for n in range(1, len(x))}
         self.lengths = sorted({len(k) for k in self.seeds})
         self.need = {i: self._needed(i, w) for i, w in self.words.items()}
 
+    def _rarest(self, w: list[str], held: Counter) -> set[int]:
+        """Places of the rarest seeds of every stretch of half an item: more than its differing words can break, or all."""
+        n, half = min(SEED_WORDS, len(w)), int(np.ceil(SHARE * len(w)))
+        count = [held[tuple(w[k : k + n])] for k in range(len(w) - n + 1)]
+        width = min(max(1, half - n + 1), len(count))
+        most = n * int(_allowed(half)) + 1
+        return {k for low in range(len(count) - width + 1) for k in sorted(range(low, low + width), key=count.__getitem__)[:most]}
+
+    def _joined(self, w: list[str]) -> tuple[list[str], list[int]]:
+        """The words with neighbours joined where they make up a word of an item, and where each began; no words if there are none such."""
+        at = [k for k, x in enumerate(w[:-1]) if x in self.heads and x + w[k + 1] in self.vocabulary]
+        if not at:
+            return [], []
+        out, begins, k, cut = [], [], 0, set(at)
+        while k < len(w):
+            begins.append(k)
+            out.append(w[k] + w[k + 1] if k in cut else w[k])
+            k += 2 if k in cut else 1
+        return out, begins
+
     def _needed(self, item: int, w: list[str]) -> int:
         """Seeds that any stretch which counts as found must share: those of the poorest half, less three for each word that may differ."""
         n, half = min(SEED_WORDS, len(w)), int(np.ceil(SHARE * len(w)))
@@ -133,15 +159,17 @@ class Items:
         """``(item, matched words, differing words)`` of the items in a text."""
         w = words_of(text)
         hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for n in self.lengths:
-            if self.seeds.keys().isdisjoint(zip(*(w[k:] for k in range(n)))):
-                continue
-            for at, g in enumerate(zip(*(w[k:] for k in range(n)))):
-                for i, p in self.seeds.get(g, ()):
-                    hits[i].append((at, p))
+        joined, begins = self._joined(w)
+        for words, places in ((w, range(len(w))), (joined, begins)):
+            for n in self.lengths:
+                if self.seeds.keys().isdisjoint(zip(*(words[k:] for k in range(n)))):
+                    continue
+                for at, g in enumerate(zip(*(words[k:] for k in range(n)))):
+                    for i, p in self.seeds.get(g, ()):
+                        hits[i].append((places[at], p))
         out = []
         for i, pairs in hits.items():
-            if len({p for _, p in pairs}) < self.need[i]:
+            if len({p for _, p in pairs}) < self.need[i] and not joined:
                 continue
             item, best = self.words[i], (0, 0)
             for low, high in _groups(sorted(at - p for at, p in pairs), len(item)):
@@ -167,9 +195,9 @@ def _groups(starts: list[int], gap: int) -> Iterator[tuple[int, int]]:
 def leaked_items(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """``(doc_id, item_id, matched, differing)``: items of which a document holds at least half in one stretch.
 
-    Seeds are the three-word runs of an item that at most three items share (an item made of common runs
-    keeps its rarest); a seed in a document begins an alignment of the whole item with the words around
-    it. Every word of every document is read. Items are a bounded set: their words are counted, and
+    Seeds are the three-word runs of an item that at most three items share, and the rarest ones of every
+    half of an item however many share them; a seed in a document, as it stands or with the parts of split
+    words joined, begins an alignment of the whole item with the words around it. Every word of every document is read. Items are a bounded set: their words are counted, and
     beyond ``BLOCK_WORDS`` they are taken in blocks against all documents. Nothing is shuffled.
 
     Null and wordless texts give no row; repeated rows give repeated results merged by the caller's

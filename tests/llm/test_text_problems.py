@@ -86,6 +86,17 @@ def test_items_in_blocks_and_copies_of_items(spark, monkeypatch):
     assert leakage.leaked_items(docs.limit(0), it).count() == 0 and leakage.leaked_items(docs, it.limit(0)).count() == 0
 
 
+def test_items_that_share_a_passage_and_words_split_in_two(spark):
+    r = random.Random(6)
+    shared = sentence(r, 30)
+    items = [(i, f"{sentence(r, 6)} {shared} {sentence(r, 6)}") for i in range(6)] + [(9, sentence(r, 24))]
+    split = " ".join(x[:2] + " " + x[2:] if k % 3 == 1 else x for k, x in enumerate(items[-1][1].split()))
+    docs = spark.createDataFrame([(1, f"{sentence(r, 9)} {shared} {sentence(r, 9)}"), (2, "see " + split), (3, sentence(r, 60))], "doc_id bigint, text string")
+    it = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {tuple(x) for x in leakage.leaked_items(docs, it).select("doc_id", "item_id").collect()}
+    assert got == {(1, i) for i in range(6)} | {(2, 9)}
+
+
 WHOLE = [
     "The queue was full, so the team moved it in 4.2.19.", "Most readers keep the log [12]", "The fix was small. […]", "“The node is old.”", "Table 4: Verified Lock by Linear Runtime", "| pager | 440 MB | 4.6.6 |", "pager | 6660 rows/s | 237",
     "cache.limit = 30s", "src/main/lock_table.rs", "`tool --flag 1.2.3`", "Is the lock still held?", "The lock (see 1.2.3) was held (1.21.9)", "Section 4.8 Tentative Tracker", "The readers changed the older queue before they accepted NIS-4604869 [24]", "It took about 12 rows/s [sic].",
