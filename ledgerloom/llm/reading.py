@@ -12,10 +12,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.durable import checkpoint
+from ledgerloom.functions.skew import salted_join
 
 #: Share of a document's words that its vocabulary must cover.
 COVER = 0.9
-#: Ranked words every task holds, at most; all rarer words share the rank after them.
+#: Ranked words every task holds, at most; ranks of rarer words are looked up by a join.
 RANKED = 200_000
 #: Levels, from plain to most demanding.
 LOWEST, HIGHEST = 1, 5
@@ -76,33 +77,56 @@ def features(documents: DataFrame, words: DataFrame, key: str = "doc_id", text:
     """``(doc_id, coverage_rank, n_words, …FEATURES)`` of every document; a document without words has null features.
 
     ``coverage_rank`` is the size of the smallest frequency-ranked vocabulary that covers ``COVER`` of its words.
+    The most frequent words are held by the tasks. A document that needs a rarer one hands out its rarer
+    words, which meet their ranks in a join; documents of equal such words are looked up once.
     """
-    by_n = {r.n: r["rank"] for r in ranks(words).where(F.col("rank") <= RANKED).collect()}
-    least = min(by_n, default=0)
-    held = {r.word: by_n[r.n] for r in words.where(F.col("n") >= least).select("word", "n").toLocalIterator()} if by_n else {}
-    beyond = max(held.values(), default=0) + 1
+    by_n = {r.n: r["rank"] for r in ranks(words).collect()}
+    total = max(by_n.values(), default=0)
+    least = min((n for n, x in by_n.items() if x <= RANKED), default=None)
+    held = {r.word: by_n[r.n] for r in words.where(F.col("n") >= least).select("word", "n").toLocalIterator()} if least is not None else {}
+    deep = total > RANKED
     kind = documents.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = held.get
+        get, beyond = held.get, total + 1
         for batch in batches:
             out = []
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 t = prose(t or "")
                 w = words_of(t)
                 if not w:
-                    out.append((k, None, 0, *[None] * len(FEATURES)))
+                    out.append((k, None, 0, *[None] * len(FEATURES), None, None))
                     continue
                 r = np.sort(np.array([get(x, beyond) for x in w]))
-                rank = int(r[int(np.ceil(COVER * len(r))) - 1])
+                at = int(np.ceil(COVER * len(r))) - 1
+                rank, need, rest = int(r[at]), None, None
+                if deep and rank == beyond:
+                    rest = sorted(x for x in w if x not in held)
+                    need = at - (len(w) - len(rest)) + 1
                 sizes = np.array(list(map(len, w)))
                 sentences = max(1, sum(1 for p in _STOP.split(t) if p and any(map(str.isalpha, p))))
-                out.append((k, rank, len(w), float(np.log(rank)), float(np.log(len(w) / sentences)), float(sizes.mean()), float((sizes > 9).mean()), t.count(",") / sentences))
-            columns = list(zip(*out)) or [()] * (3 + len(FEATURES))
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], batch.schema.field(0).type), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()), *(pa.array(c, pa.float64()) for c in columns[3:])], ["doc_id", "coverage_rank", "n_words", *FEATURES])
-
-    shape = f"doc_id {kind}, coverage_rank bigint, n_words bigint, " + ", ".join(f"{f} double" for f in FEATURES)
-    return documents.select(key, text).mapInArrow(run, shape)
+                out.append((k, rank, len(w), float(np.log(rank)), float(np.log(len(w) / sentences)), float(sizes.mean()), float((sizes > 9).mean()), t.count(",") / sentences, need, rest))
+            columns = list(zip(*out)) or [()] * (5 + len(FEATURES))
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], batch.schema.field(0).type), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()), *(pa.array(c, pa.float64()) for c in columns[3:-2]), pa.array(columns[-2], pa.int32()), pa.array(columns[-1], pa.list_(pa.string()))], ["doc_id", "coverage_rank", "n_words", *FEATURES, "need", "rest"])
+
+    names = ["doc_id", "coverage_rank", "n_words", *FEATURES]
+    shape = f"doc_id {kind}, coverage_rank bigint, n_words bigint, " + ", ".join(f"{f} double" for f in FEATURES) + ", need int, rest array<string>"
+    rows = documents.select(key, text).mapInArrow(run, shape)
+    if not deep:
+        return rows.select(names)
+    rows = checkpoint(rows.withColumn("text_key", F.when(F.col("need").isNotNull(), F.unhex(F.md5(F.concat_ws(" ", F.col("need").cast("string"), "rest"))))))
+    exact = _rare_ranks(rows.where("need IS NOT NULL"), words, least, total)
+    found = salted_join(rows.where("need IS NOT NULL").drop("coverage_rank", "log_rank"), exact, ["text_key"], ["doc_id", "n_words"])
+    return rows.where("need IS NULL").select(names).unionByName(found.withColumn("log_rank", F.log(F.col("coverage_rank").cast("double"))).select(names))
+
+
+def _rare_ranks(rows: DataFrame, words: DataFrame, least: int | None, total: int) -> DataFrame:
+    """``(text_key, coverage_rank)``: the rank of the ``need``-th of the rarer words ``rest``, once per key."""
+    rarer = words if least is None else words.where(F.col("n") < least)
+    ranked = salted_join(rarer, ranks(words).select("n", "rank"), ["n"], ["word"]).select("word", "rank")
+    asked = rows.groupBy("text_key").agg(F.first("need").alias("need"), F.first("rest").alias("rest")).select("text_key", "need", F.explode("rest").alias("word"))
+    known = asked.join(ranked, "word", "left").select("text_key", "need", F.coalesce("rank", F.lit(total + 1)).alias("rank"))
+    return known.groupBy("text_key").agg(F.sort_array(F.collect_list("rank")).alias("r"), F.first("need").alias("need")).select("text_key", F.element_at("r", F.col("need")).alias("coverage_rank"))
 
 
 def graded(labels: DataFrame) -> DataFrame:

@@ -166,3 +166,18 @@ def test_coverage_rank(spark):
     words = reading.vocabulary(df)
     assert {r.n: r["rank"] for r in reading.ranks(words).collect()} == {6: 1, 3: 2, 1: 4}
     assert {r.doc_id: r.coverage_rank for r in reading.features(df, words).collect()} == {1: 2, 2: 4}
+
+
+def test_coverage_rank_beyond_the_ranked_words(spark, monkeypatch):
+    r = random.Random(8)
+    docs = [(i, " ".join(f"{'abcdefgh'[int(r.random() ** 3 * 8)]}{'xyz' * r.randrange(1, 2 + i % 9)}" for _ in range(r.randrange(1, 30)))) for i in range(60)] + [(70, None), (71, ""), (3, "only once seen words here"), (3, "only once seen words here")]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    words = reading.vocabulary(df)
+    whole = sorted(tuple(x) for x in reading.features(df, words).collect() if x.n_words)
+    assert max(x[1] for x in whole) > 20
+    for ranked in (20, 4, 0):
+        monkeypatch.setattr(reading, "RANKED", ranked)
+        cut = sorted(tuple(x) for x in reading.features(df, words).collect() if x.n_words)
+        assert [x[:3] for x in cut] == [x[:3] for x in whole]
+        assert all(abs(a[3] - b[3]) < 1e-12 and a[4:] == b[4:] for a, b in zip(cut, whole))
+    assert reading.features(df, words).count() == len(docs)
