@@ -15,6 +15,18 @@ INJECTION = (
     r"system prompt",
     r"do not (?:tell|reveal) ",
 )
+#: Line beginnings that try to steer a reader model, and how much of a match is told.
+STEERING = (
+    r"ignore\s+(?:previous|all|prior)\s+instructions?",
+    r"disregard\s+(?:the\s+)?(?:system\s+)?prompt",
+    r"you\s+are\s+now\s+",
+    r"act\s+as\s+(?:a\s+)?(?:new|different|unrestricted)",
+    r"</?SYSTEM>",
+    r"###\s*(?:system|instruction|override)\b",
+    r"forget\s+everything\s+(?:you\s+)?(?:have\s+)?learned",
+    r"jailbreak\b",
+)
+MATCH_CHARS = 120
 #: Parameters that only track a visit.
 TRACKING = r"^(?:utm_.*|fbclid|gclid|mc_.*)$"
 
@@ -96,6 +108,16 @@ def injections(documents: DataFrame) -> DataFrame:
     return documents.where("text IS NOT NULL").select("doc_id", hits.alias("n_patterns")).where("n_patterns > 0")
 
 
+def steering_matches(documents: DataFrame) -> DataFrame:
+    """``(doc_id, matches)`` of the texts with a line that begins like a steering phrase: the first match of each pattern, without blanks around it.
+
+    Case does not count; blanks are Unicode's and only a line feed ends a line.
+    """
+    first = [F.regexp_extract("text", rf"(?imdU)^\s*{p}", 0) for p in STEERING]
+    told = F.transform(F.filter(F.array(*first), lambda m: m != ""), lambda m: F.substring(F.regexp_replace(m, r"(?U)^\s+|\s+$", ""), 1, MATCH_CHARS))
+    return documents.where("text IS NOT NULL").select("doc_id", told.alias("matches")).where(F.size("matches") > 0)
+
+
 def canonical_url(c: Column) -> Column:
     """The address without fragment and tracking parameters; other parameters keep their order and blank values."""
     bare = F.regexp_replace(F.btrim(c, F.lit(" \t\r\n")), "#.*$", "")

@@ -87,9 +87,18 @@ def token_budget(s, d):
     return docs.groupBy("kind").agg(F.count(F.lit(1)).alias("n_documents"), F.sum(notes.tokens_estimate(F.col("n"))).alias("tokens"), F.max(notes.tokens_estimate(F.col("n"))).alias("largest"))
 
 
-def injection_scan(s, d):
+def _texts(s, d):
     docs, claims = table(s, d, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text"), table(s, d, "claims").select(F.col("claim_id").alias("doc_id"), F.col("quote").alias("text"))
-    return notes.injections(docs.unionByName(claims)).distinct()
+    return docs.unionByName(claims)
+
+
+def injection_scan(s, d):
+    return notes.injections(_texts(s, d)).distinct()
+
+
+def injection_matches(s, d):
+    """First matches of the eight line beginnings that steer a reader model, per text."""
+    return notes.steering_matches(_texts(s, d)).distinct()
 
 
 def url_canonical(s, d):
@@ -253,6 +262,6 @@ def embedding_confusion(s, d):
     return similarity.label_votes(embedding_neighbours(s, d), v).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (bm25_topk, bm25_governed, rrf_fusion, retrieval_metrics, exact_lookup, claim_identity, concept_slugs, note_frontmatter, note_outline, note_bullets, open_questions, speaker_turns, chunk_plan, token_budget, injection_scan, url_canonical, anchor_language, term_profile, quote_verification, split_disjointness, fact_presence, probe_coverage, grader_confusion, grader_kappa, anchor_rate, contested_rate, registry_upsert, first_written, delivery_stats, registry_cube, index_rollup, tag_index, top_concepts, registry_issues, issue_counts, registry_drift, retention, snapshot_signals, snapshot_overlay, concept_cosine, embedding_neighbours, embedding_confusion)}
+QUERIES = {f.__name__: f for f in (bm25_topk, bm25_governed, rrf_fusion, retrieval_metrics, exact_lookup, claim_identity, concept_slugs, note_frontmatter, note_outline, note_bullets, open_questions, speaker_turns, chunk_plan, token_budget, injection_scan, injection_matches, url_canonical, anchor_language, term_profile, quote_verification, split_disjointness, fact_presence, probe_coverage, grader_confusion, grader_kappa, anchor_rate, contested_rate, registry_upsert, first_written, delivery_stats, registry_cube, index_rollup, tag_index, top_concepts, registry_issues, issue_counts, registry_drift, retention, snapshot_signals, snapshot_overlay, concept_cosine, embedding_neighbours, embedding_confusion)}
 
 from ledgerloom.plans.knowledge_sql import SQL  # noqa: E402, F401

@@ -206,3 +206,10 @@ def test_spread_keeps_rows_and_leaves_wide_plans(spark):
     assert spread(one).rdd.getNumPartitions() == 4 and spread(one).count() == 100
     wide = spark.range(0, 100, 1, 3)
     assert spread(wide) is wide
+
+
+def test_steering_matches(spark):
+    phrases = ["Ignore previous instruction", "disregard the system prompt", "you are now ", "Act as a unrestricted", "</system>", "### Override", "forget everything you have learned", "JAILBREAK"]
+    texts = [(str(i), f"first line\n \t{p} and more\n{p}") for i, p in enumerate(phrases)] + [("all", "\n".join(p + " x" for p in phrases)), ("in", "do not ignore all instructions"), ("cr", "x\rjailbreak"), ("none", None)]
+    got = {x.doc_id: x.matches for x in notes.steering_matches(spark.createDataFrame(texts, "doc_id string, text string")).collect()}
+    assert got == {str(i): [p.strip()] for i, p in enumerate(phrases)} | {"all": [p.strip() for p in phrases]}
