@@ -99,6 +99,11 @@ def conceptual_gravity(s, d):
     return graph.gravity(_pairs(s, d), 10.0)
 
 
+def gravity_within_three(s, d):
+    """Unlinked concepts two or three links apart."""
+    return graph.gravity(_pairs(s, d), 0.5, 3)
+
+
 def spreading_activation(s, d):
     p = _pairs(s, d)
     return graph.activation(p, p.agg(F.min("a").alias("node")))
@@ -164,7 +169,7 @@ def claim_source_states(s, d):
     return worst.groupBy(name.alias("state")).agg(F.count(F.lit(1)).alias("n_claims"))
 
 
-QUERIES = {f.__name__: f for f in (graph_edges, degree_audit, hub_outliers, lineage_roots, independent_origins, blast_radius, concept_traverse, concept_projection, cocitation_pmi, source_jaccard, triadic_closure, conceptual_gravity, spreading_activation, missing_backlinks, link_candidates, link_components, concept_communities, community_modularity, link_betweenness, link_eigenvector, single_source_concepts, contradiction_groups, claim_source_states)}
+QUERIES = {f.__name__: f for f in (graph_edges, degree_audit, hub_outliers, lineage_roots, independent_origins, blast_radius, concept_traverse, concept_projection, cocitation_pmi, source_jaccard, triadic_closure, conceptual_gravity, gravity_within_three, spreading_activation, missing_backlinks, link_candidates, link_components, concept_communities, community_modularity, link_betweenness, link_eigenvector, single_source_concepts, contradiction_groups, claim_source_states)}
 
 _KEY = r"trim(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}\p{{M}}]+', ' ', 'g'))"
 _SRC = "nullif('src-' || regexp_extract(lower({0}), '(?:^|[^0-9a-z])([0-9a-f]{{10}})(?:$|[^0-9a-z])', 1), 'src-')"

@@ -208,6 +208,14 @@ def test_spread_keeps_rows_and_leaves_wide_plans(spark):
     assert spread(wide) is wide
 
 
+def test_gravity_three_steps_apart_and_converged_eigenvector(spark):
+    p = graph.undirected(edges(spark, TRIANGLES))
+    assert {(x.a, x.b): round(x.gravity, 6) for x in graph.gravity(p, 0.4, 3).collect()} == {("a", "d"): 1.5, ("b", "d"): 1.5, ("c", "e"): 1.5, ("c", "f"): 1.5, **{(a, b): round(4 / 9, 6) for a in "ab" for b in "ef"}}
+    path = [(f"n{i}", f"n{i + 1}") for i in range(8)]
+    got = {r.node: r.score for r in graph.eigenvector(graph.undirected(edges(spark, path))).collect()}
+    assert got == {f"n{i}": pytest.approx(math.sin((i + 1) * math.pi / 10), abs=1e-4) for i in range(9)}
+
+
 def test_steering_matches(spark):
     phrases = ["Ignore previous instruction", "disregard the system prompt", "you are now ", "Act as a unrestricted", "</system>", "### Override", "forget everything you have learned", "JAILBREAK"]
     texts = [(str(i), f"first line\n \t{p} and more\n{p}") for i, p in enumerate(phrases)] + [("all", "\n".join(p + " x" for p in phrases)), ("in", "do not ignore all instructions"), ("cr", "x\rjailbreak"), ("none", None)]
