@@ -109,6 +109,11 @@ def spreading_activation(s, d):
     return graph.activation(p, p.agg(F.min("a").alias("node")))
 
 
+def activation_pairs(s, d):
+    """What the twenty concepts with most links leave on concepts they are not linked with."""
+    return graph.seeded_activation(concept_links(s, d))
+
+
 def missing_backlinks(s, d):
     return graph.one_way_links(concept_links(s, d))
 
@@ -124,6 +129,17 @@ def link_candidates(s, d):
     return both.select("a", "b", signals.alias("n_signals"), F.round(score, 6).alias("score")).where("n_signals >= 2")
 
 
+def link_suggestions(s, d):
+    """Unlinked concept pairs with two signals or more out of co-citation, overlap and activation; only signals that fire count."""
+    co = cocitation_pmi(s, d).where("shared >= 2 AND pmi >= 0.5").select("a", "b", (0.4 * F.col("shared") + 0.3 * F.greatest(F.lit(0.0), "pmi")).alias("co"))
+    jac = source_jaccard(s, d).where("jaccard >= 0.15")
+    act = activation_pairs(s, d).groupBy(F.least("seed", "node").alias("a"), F.greatest("seed", "node").alias("b")).agg(F.max("activation").alias("activation")).where("activation >= 0.05")
+    both = co.join(jac, ["a", "b"], "full").join(act, ["a", "b"], "full").join(_pairs(s, d), ["a", "b"], "left_anti")
+    signals = sum((F.when(F.col(c).isNotNull(), 1).otherwise(0) for c in ("co", "jaccard", "activation")), F.lit(0))
+    score = F.coalesce("co", F.lit(0.0)) + 5 * F.coalesce("jaccard", F.lit(0.0)) + 2 * F.coalesce("activation", F.lit(0.0))
+    return both.select("a", "b", signals.alias("n_signals"), F.round(score, 6).alias("score")).where("n_signals >= 2")
+
+
 def link_components(s, d):
     return components(concept_links(s, d).select(F.col("a"), F.col("b")), "a", "b")
 
@@ -169,7 +185,7 @@ def claim_source_states(s, d):
     return worst.groupBy(name.alias("state")).agg(F.count(F.lit(1)).alias("n_claims"))
 
 
-QUERIES = {f.__name__: f for f in (graph_edges, degree_audit, hub_outliers, lineage_roots, independent_origins, blast_radius, concept_traverse, concept_projection, cocitation_pmi, source_jaccard, triadic_closure, conceptual_gravity, gravity_within_three, spreading_activation, missing_backlinks, link_candidates, link_components, concept_communities, community_modularity, link_betweenness, link_eigenvector, single_source_concepts, contradiction_groups, claim_source_states)}
+QUERIES = {f.__name__: f for f in (graph_edges, degree_audit, hub_outliers, lineage_roots, independent_origins, blast_radius, concept_traverse, concept_projection, cocitation_pmi, source_jaccard, triadic_closure, conceptual_gravity, gravity_within_three, spreading_activation, activation_pairs, missing_backlinks, link_candidates, link_suggestions, link_components, concept_communities, community_modularity, link_betweenness, link_eigenvector, single_source_concepts, contradiction_groups, claim_source_states)}
 
 _KEY = r"trim(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}\p{{M}}]+', ' ', 'g'))"
 _SRC = "nullif('src-' || regexp_extract(lower({0}), '(?:^|[^0-9a-z])([0-9a-f]{{10}})(?:$|[^0-9a-z])', 1), 'src-')"

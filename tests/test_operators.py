@@ -216,6 +216,34 @@ def test_gravity_three_steps_apart_and_converged_eigenvector(spark):
     assert got == {f"n{i}": pytest.approx(math.sin((i + 1) * math.pi / 10), abs=1e-4) for i in range(9)}
 
 
+def test_activation_of_every_seed(spark):
+    links = [("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("d", "e"), ("e", "a"), ("x", "y"), ("y", "z"), ("z", "x"), ("a", "a")]
+    out = defaultdict(list)
+    for a, b in links:
+        if a != b:
+            out[a].append(b)
+    seeds = sorted(out, key=lambda n: (-len(out[n]), n))
+    linked = {(a, b) for a, b in links} | {(b, a) for a, b in links}
+
+    def want(seeds):
+        found = {}
+        for s in seeds:
+            held = {s: 1.0}
+            for _ in range(3):
+                new = defaultdict(float)
+                for n, m in held.items():
+                    for o in out[n]:
+                        new[o] += m * 0.5 / len(out[n])
+                for n, m in new.items():
+                    held[n] = held.get(n, 0.0) + m
+            found |= {(s, n): pytest.approx(m, abs=1e-5) for n, m in held.items() if n != s and (s, n) not in linked}
+        return found
+
+    e = edges(spark, links)
+    for n in (20, 2):
+        assert {(x.seed, x.node): x.activation for x in graph.seeded_activation(e, n).collect()} == want(seeds[:n])
+
+
 def test_steering_matches(spark):
     phrases = ["Ignore previous instruction", "disregard the system prompt", "you are now ", "Act as a unrestricted", "</system>", "### Override", "forget everything you have learned", "JAILBREAK"]
     texts = [(str(i), f"first line\n \t{p} and more\n{p}") for i, p in enumerate(phrases)] + [("all", "\n".join(p + " x" for p in phrases)), ("in", "do not ignore all instructions"), ("cr", "x\rjailbreak"), ("none", None)]
