@@ -123,6 +123,7 @@ class Items:
                 if held[g] > SEED_ITEMS:
                     self.seeds.setdefault(g, []).append((i, k))
         vocabulary = {x for w in self.words.values() for x in w}
+        self.sets = {i: set(w) for i, w in self.words.items()}
         self.vocabulary, self.heads = vocabulary, {x[:n] for x in vocabulary for n in range(1, len(x))}
         self.lengths = sorted({len(k) for k in self.seeds})
         self.need = {i: self._needed(i, w) for i, w in self.words.items()}
@@ -135,17 +136,17 @@ class Items:
         most = n * int(_allowed(half)) + 1
         return {k for low in range(len(count) - width + 1) for k in sorted(range(low, low + width), key=count.__getitem__)[:most]}
 
-    def _joined(self, w: list[str]) -> tuple[list[str], list[int]]:
-        """The words with neighbours joined where they make up a word of an item, and where each began; no words if there are none such."""
+    def _joined(self, w: list[str]) -> tuple[list[str], list[int], list[str]]:
+        """The words with neighbours joined where they make up a word of an item, where each began, and all words so made; nothing if there are none such."""
         at = [k for k, x in enumerate(w[:-1]) if x in self.heads and x + w[k + 1] in self.vocabulary]
         if not at:
-            return [], []
+            return [], [], []
         out, begins, k, cut = [], [], 0, set(at)
         while k < len(w):
             begins.append(k)
             out.append(w[k] + w[k + 1] if k in cut else w[k])
             k += 2 if k in cut else 1
-        return out, begins
+        return out, begins, [w[k] + w[k + 1] for k in at]
 
     def _needed(self, item: int, w: list[str]) -> int:
         """Seeds that any stretch which counts as found must share: those of the poorest half, less three for each word that may differ."""
@@ -159,7 +160,7 @@ class Items:
         """``(item, matched words, differing words)`` of the items in a text."""
         w = words_of(text)
         hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        joined, begins = self._joined(w)
+        joined, begins, made = self._joined(w)
         for words, places in ((w, range(len(w))), (joined, begins)):
             for n in self.lengths:
                 if self.seeds.keys().isdisjoint(zip(*(words[k:] for k in range(n)))):
@@ -169,7 +170,8 @@ class Items:
                         hits[i].append((places[at], p))
         out = []
         for i, pairs in hits.items():
-            if len({p for _, p in pairs}) < self.need[i] and not joined:
+            # A split word of the item may break each of the seeds that hold it.
+            if len({p for _, p in pairs}) < max(1, self.need[i] - SEED_WORDS * sum(x in self.sets[i] for x in made)):
                 continue
             item, best = self.words[i], (0, 0)
             for low, high in _groups(sorted(at - p for at, p in pairs), len(item)):
