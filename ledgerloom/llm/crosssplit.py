@@ -9,6 +9,8 @@ one of them unchanged, no further than k places away.
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,12 +18,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.durable import checkpoint
-from ledgerloom.functions.skew import salted_join
+from ledgerloom.functions.skew import SALTS, salted_join
+from ledgerloom.llm.tokenize import ranks
 
 #: Edits allowed per word of the evaluation question: ten words of a question of twenty may come, go or change (twice).
 EDITS = 0.6
-#: A word on so few topics, or so small a share of them, may be a name, however many copies hold it. A set of numbers is a topic; so is each question without numbers.
-NAME_TOPICS, NAME_SHARE = 3, 0.001
 #: Words before and after a word that tell its place in a question.
 AROUND = 2
 
@@ -42,6 +43,12 @@ def _numbers(words: Column) -> Column:
     return F.xxhash64(F.filter(words, lambda w: w.rlike(r"^\p{N}")))
 
 
+@functools.lru_cache(maxsize=2)
+def ordinary_words(path: str) -> frozenset[str]:
+    """The words that are one token of a public vocabulary, with or without a blank before them, in lower case."""
+    return frozenset(w for t in ranks(path) if (w := t.decode("utf-8", "ignore").strip().lower()).isalpha())
+
+
 def _named(rows: DataFrame, key: str, text: str) -> DataFrame:
     named = rows.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), ordered_words(F.col(text)).alias("ordered")).where("ordered IS NOT NULL").withColumn("words", F.array_sort("ordered"))
     return named.withColumn("cls", F.unhex(F.md5(F.array_join("words", " "))))
@@ -50,24 +57,30 @@ def _named(rows: DataFrame, key: str, text: str) -> DataFrame:
 def _classes(rows: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     """Distinct word sequences with their numbers and the least of their orders, and which ids have them."""
     named = _named(rows, key, text)
-    return checkpoint(named.groupBy("cls").agg(F.first("words").alias("words"), F.min("ordered").alias("ordered")).withColumn("numbers", _numbers(F.col("words")))), named.select("cls", "id").distinct()
+    free = ~F.exists("words", lambda w: w.rlike(r"^\p{N}"))
+    return checkpoint(named.groupBy("cls").agg(F.first("words").alias("words"), F.min("ordered").alias("ordered")).withColumn("numbers", _numbers(F.col("words"))).withColumn("free", free)), named.select("cls", "id").distinct()
 
 
-def _edits(n: Column) -> Column:
-    return F.floor(n * F.lit(EDITS)).cast("int")
+def _edits(n: Column, edits: float) -> Column:
+    return F.floor(n * F.lit(edits)).cast("int")
 
 
-def eval_segments(classes: DataFrame) -> DataFrame:
-    """``(cls, n, k, at, key)``: the k+1 even segments of each sequence; ``at`` is the place of its first word, ``key`` hashes numbers and words."""
+def eval_segments(classes: DataFrame, edits: float = EDITS) -> DataFrame:
+    """``(cls, free, n, k, at, key)``: the k+1 even segments of each sequence; ``at`` is the place of its first word, ``key`` hashes numbers and words."""
     n = F.size("words")
-    k = F.least(_edits(n), n - 1)
+    k = F.least(_edits(n, edits), n - 1)
     cut = lambda i: F.floor(i * F.col("n") / (F.col("k") + 1)).cast("int")
-    cuts = classes.select("cls", "words", "numbers", n.alias("n"), k.alias("k")).select("*", F.explode(F.sequence(F.lit(0), F.col("k"))).alias("i"))
-    return cuts.select("cls", "n", "k", cut(F.col("i")).alias("at"), F.xxhash64("numbers", F.slice("words", cut(F.col("i")) + 1, cut(F.col("i") + 1) - cut(F.col("i")))).alias("key"))
+    cuts = classes.select("cls", "free", "words", "numbers", n.alias("n"), k.alias("k")).select("*", F.explode(F.sequence(F.lit(0), F.col("k"))).alias("i"))
+    return cuts.select("cls", "free", "n", "k", cut(F.col("i")).alias("at"), F.xxhash64("numbers", F.slice("words", cut(F.col("i")) + 1, cut(F.col("i") + 1) - cut(F.col("i")))).alias("key"))
+
 
+def segment_lengths(edits: float = EDITS) -> range:
+    """The lengths that segments of any sequence may have: m words in k + 1 segments, k the whole part of ``edits`` m."""
+    return range(1, math.ceil(1 / edits) + 1)
 
-def train_substrings(classes: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
-    """``(cls, n, at, key)``: every run of so many words of each sequence."""
+
+def train_substrings(classes: DataFrame, lengths: range) -> DataFrame:
+    """``(cls, free, n, at, key)``: every run of so many words of each sequence."""
     n = F.size("words")
 
     def of(width: int) -> Column:
@@ -75,7 +88,7 @@ def train_substrings(classes: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
         return F.transform(places, lambda i: F.struct(i.alias("at"), F.xxhash64("numbers", F.slice("words", i + 1, F.lit(width))).alias("key")))
 
     runs = F.flatten(F.array(*map(of, lengths)))
-    return classes.select("cls", n.alias("n"), F.explode(runs).alias("r")).select("cls", "n", "r.at", "r.key")
+    return classes.select("cls", "free", n.alias("n"), F.explode(runs).alias("r")).select("cls", "free", "n", "r.at", "r.key")
 
 
 def word_distance(a: list[str], b: list[str], most: int) -> int:
@@ -120,16 +133,16 @@ def replaced(a: list[str], b: list[str]) -> list[tuple[str, str]]:
     return [(v, w) for v in x for w in y if any(p & r or q & s for p, q in _places(a, v) for r, s in _places(b, w))]
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("x", pa.string()), ("y", pa.string())]))
-    for batch in batches:
-        out = []
-        for e, t, a, b in zip(*(c.to_pylist() for c in batch.columns)):
-            if word_distance(sorted(a), sorted(b), int(len(a) * EDITS)) <= int(len(a) * EDITS):
-                out.append((e, t, [{"x": x, "y": y} for x, y in replaced(a, b)]))
-        if out:
-            e, t, r = map(list, zip(*out))
-            yield pa.RecordBatch.from_arrays([pa.array(e, pa.binary()), pa.array(t, pa.binary()), pa.array(r, kind)], ["e", "t", "replaced"])
+def same_question(a: list[str], b: list[str], known: frozenset[str] | None, edits: float = EDITS) -> bool:
+    """Whether ``b`` asks what ``a`` asks, by these two texts alone (words in the order of the texts).
+
+    Few enough words differ, and no name stands in the place of another name. A name is a word that is not
+    among the ``known`` ones; without known words no word counts as a name.
+    """
+    most = int(len(a) * edits)
+    if word_distance(sorted(a), sorted(b), most) > most:
+        return False
+    return known is None or not any(x not in known and y not in known for x, y in replaced(a, b))
 
 
 def _minus(a: list[str], b: list[str]) -> list[str]:
@@ -143,37 +156,36 @@ def _minus(a: list[str], b: list[str]) -> list[str]:
     return out
 
 
-def overlaps(train: DataFrame, evaluation: DataFrame, train_key: str = "id", train_text: str = "question", eval_key: str = "id", eval_text: str = "question") -> DataFrame:
+def overlaps(train: DataFrame, evaluation: DataFrame, train_key: str = "id", train_text: str = "question", eval_key: str = "id", eval_text: str = "question", vocabulary: str | None = None, edits: float = EDITS) -> DataFrame:
     """``(probe_id, question_id)``: every training row with every evaluation row that asks the same thing.
 
     Rows of equal word sequences are one class; classes are joined on segment and numbers, verified once
-    per pair, and their ids put back at the end (a pair per id is what is asked for). A pair is dropped
-    where a rare word of one side stands in the place of a rare word of the other and is no misspelling
-    of it: that is another name. Rare words that were only added or dropped do not count. Null, empty and wordless questions never match; repeated rows count once.
+    per pair, and their ids put back at the end (a pair per id is what is asked for). Whether two texts ask
+    the same is told from the two alone, so that a pair's answer is the same whatever else is in the tables:
+    a pair is dropped where a name stands in the place of another name and is no misspelling of it, a name
+    being a word that the public ``vocabulary`` (a path, the same on every executor) does not hold as one
+    token. Null, empty and wordless questions never match; repeated rows count once.
     """
     e, e_ids = _classes(evaluation, eval_key, eval_text)
     t, t_ids = _classes(train, train_key, train_text)
-    # Only training classes with the numbers of some evaluation class can have a partner; the numbers of
-    # questions without any may be a hot key, so the join is salted.
+    # Only training classes with the numbers of some evaluation class can have a partner; questions without
+    # numbers share one key prefix, so their part of each join is salted.
     some = salted_join(t, e.select("numbers").distinct(), ["numbers"], ["cls"], "left_semi")
-    segments = eval_segments(e).select(F.col("cls").alias("e"), F.col("n").alias("m"), "k", F.col("at").alias("from"), "key")
-    runs = train_substrings(some, (1, 2)).select(F.col("cls").alias("t"), "n", "at", "key")
-    near = runs.join(segments, "key").where((F.abs(F.col("n") - F.col("m")) <= F.col("k")) & (F.abs(F.col("at") - F.col("from")) <= F.col("k"))).select("e", "t").distinct()
+    parts = F.when(F.col("free"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    segments = eval_segments(e, edits).select(F.col("cls").alias("e"), F.col("n").alias("m"), "k", F.col("at").alias("from"), "key", F.explode(parts).alias("part"))
+    part = F.when(F.col("free"), F.pmod(F.xxhash64("cls"), F.lit(SALTS)).cast("int")).otherwise(0)
+    runs = train_substrings(some, segment_lengths(edits)).select(F.col("cls").alias("t"), "n", "at", "key", part.alias("part"))
+    near = runs.join(segments, ["key", "part"]).where((F.abs(F.col("n") - F.col("m")) <= F.col("k")) & (F.abs(F.col("at") - F.col("from")) <= F.col("k"))).select("e", "t").distinct()
     pairs = near.join(e.select(F.col("cls").alias("e"), F.col("ordered").alias("a"), F.col("numbers").alias("na")), "e").join(t.select(F.col("cls").alias("t"), F.col("ordered").alias("b"), F.col("numbers").alias("nb")), "t").where("na = nb").select("e", "t", "a", "b")
-    checked = checkpoint(pairs.mapInArrow(_verify, "e binary, t binary, replaced array<struct<x:string,y:string>>"))
-    same = _same_names(checked, e, t)
-    return salted_join(salted_join(t_ids.withColumnsRenamed({"cls": "t", "id": "probe_id"}), same, ["t"], ["probe_id"]), e_ids.withColumnsRenamed({"cls": "e", "id": "question_id"}), ["e"], ["probe_id"]).select("probe_id", "question_id").distinct()
 
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = ordinary_words(vocabulary) if vocabulary else None
+        for batch in batches:
+            kept = [same_question(a, b, known, edits) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            yield batch.select([0, 1]).filter(pa.array(kept, pa.bool_()))
 
-def _same_names(checked: DataFrame, e: DataFrame, t: DataFrame) -> DataFrame:
-    """The pairs in which no rare word is replaced by another rare word."""
-    topic = F.when(F.exists("words", lambda w: w.rlike(r"^\p{N}")), F.col("numbers")).otherwise(F.xxhash64("cls"))
-    texts = e.select("cls", "numbers", "words").unionByName(t.select("cls", "numbers", "words")).select(topic.alias("topic"), "words")
-    held = texts.select("topic", F.explode("words").alias("word")).distinct().groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    rare = held.crossJoin(texts.agg(F.count_distinct("topic").alias("topics"))).where(F.col("n") <= F.greatest(F.lit(NAME_TOPICS), F.col("topics") * NAME_SHARE)).select("word")
-    swaps = checked.select("e", "t", F.explode("replaced").alias("r")).select("e", "t", "r.x", "r.y")
-    other = swaps.join(rare.withColumnRenamed("word", "x"), "x").join(rare.withColumnRenamed("word", "y"), "y").select("e", "t").distinct()
-    return checked.select("e", "t").join(other, ["e", "t"], "left_anti")
+    same = pairs.mapInArrow(verify, "e binary, t binary")
+    return salted_join(salted_join(t_ids.withColumnsRenamed({"cls": "t", "id": "probe_id"}), same, ["t"], ["probe_id"]), e_ids.withColumnsRenamed({"cls": "e", "id": "question_id"}), ["e"], ["probe_id"]).select("probe_id", "question_id").distinct()
 
 
 def overlap_counts(pairs: DataFrame, train: DataFrame, evaluation: DataFrame) -> DataFrame:

@@ -7,10 +7,10 @@ distance of their counts is never more than that.
 
 Counts alone would leave a fixed share of all pairs of a concept to compare, so the cells of the grid
 carry words: sorted by frequency, two such texts have their first common words near the front. A cell
-is a concept with one rare word, or with two or three words where one is too frequent. Texts so short
-that two words (or one) may be all they share with a partner have their two-word (one-word) cells too,
-however frequent the words are. Every pair at or above the threshold shares a cell, whatever the cells'
-sizes; nothing is capped.
+is a concept with one word, and takes on further words until it is expected to hold few enough texts, or
+holds as many words as a partner must share. Every pair at or above the threshold shares a cell,
+whatever the cells' sizes; nothing is capped. Frequencies come from sketches of fixed size that never
+tell too little: a frequency told too high makes a cell of more words, never a lost pair.
 """
 
 from __future__ import annotations
@@ -30,8 +30,8 @@ from ledgerloom.operators.components import components
 SIMILARITY = (3, 5)
 #: Texts expected in a cell, at most, before its words are joined by a further one.
 CELL = 200
-#: Frequent words (and large concepts) whose counts are held by every task, at most.
-FREQUENT = 262_144
+#: Bits of a slot's number in the two rows of a frequency sketch, and its steps per doubling.
+SLOT_BITS, STEPS = 20, 4
 #: Bits of the sketch that tells which values occur at all; a false hit costs a row, never a result.
 SKETCH_BITS = 24
 
@@ -60,6 +60,30 @@ def seen(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bits[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63))) & np.uint64(1) == 1
 
 
+def frequency_sketch(counted: DataFrame) -> np.ndarray:
+    """Greatest frequency per slot of ``(v, n)``, in two rows of 2**20 bytes, as steps of its logarithm, rounded up; 0 stands for one or none.
+
+    A value is in one slot of each row and the lesser of both is told for it: never less than its
+    frequency. Words of a slot are not added up, so that rare words do not make each other frequent. At
+    most 2**18 rows, eight slots each, reach the driver however many values there are.
+    """
+    mask = (1 << SLOT_BITS) - 1
+    code = F.least(F.lit(255), F.ceil(F.log2("n") * STEPS)).cast("int")
+    places = F.explode(F.array(F.col("v").bitwiseAND(F.lit(mask)), F.shiftright("v", SLOT_BITS).bitwiseAND(F.lit(mask)) + (1 << SLOT_BITS)))
+    slots = counted.where("n > 1").select(code.alias("code"), places.alias("slot")).groupBy(F.shiftright("slot", 3).cast("int").alias("at"))
+    out = np.zeros(2 << SLOT_BITS, dtype=np.uint8)
+    for r in slots.agg(*(F.coalesce(F.max(F.when(F.col("slot").bitwiseAND(F.lit(7)) == i, F.col("code"))), F.lit(0)).cast("int").alias(f"c{i}") for i in range(8))).collect():
+        out[8 * r[0] : 8 * r[0] + 8] = r[1:]
+    return out.reshape(2, -1)
+
+
+def frequency(table: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """What a sketch tells for each value, 0 for values seen once at most."""
+    mask = np.int64((1 << SLOT_BITS) - 1)
+    code = np.minimum(table[0][values & mask], table[1][(values >> np.int64(SLOT_BITS)) & mask]).astype(float)
+    return np.where(code > 0, np.exp2(code / STEPS), 0.0)
+
+
 def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         x = (a.view(np.uint64) ^ (b.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -69,51 +93,52 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class Cells:
     """Grid cells and embeddings of a batch of fingerprints, from the frequencies of words and sizes of concepts."""
 
-    def __init__(self, words: list[tuple[int, int]], homes: list[tuple[int, int]], repeated: np.ndarray, total: int, similarity: tuple[int, int], cell: int) -> None:
-        self.words, self.word_n = _table(words)
-        self.homes, self.home_n = _table(homes)
-        self.repeated, self.total, self.similarity, self.cell = repeated, max(total, 1), similarity, cell
+    def __init__(self, words: np.ndarray, homes: np.ndarray, large: np.ndarray, total: int, similarity: tuple[int, int], cell: int) -> None:
+        self.words, self.homes, self.large, self.total, self.similarity, self.cell = words, homes, large, max(total, 1), similarity, cell
 
-    def of(self, home: np.ndarray, n: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, ...]:
-        """``row, key, q`` of every cell of every row; q is how many words before the cell's last one are not in the cell."""
+    def of(self, home: np.ndarray, n: np.ndarray, flat: np.ndarray, doubtful: bool = False) -> tuple[np.ndarray, ...]:
+        """``row, key, q`` of every cell of every row; q is how many words before the cell's last one are not in the cell.
+
+        If ``doubtful``, only cells that are expected to be small enough but may be larger, as all their words are frequent.
+        """
         row = np.repeat(np.arange(len(n)), n)
-        df = _lookup(self.words, self.word_n, flat)
+        df = np.minimum(frequency(self.words, flat), self.total)
         order = np.lexsort((flat, df, row))
-        t, df = flat[order], df[order].astype(float)
+        t, df = flat[order], df[order]
         place = np.arange(len(t)) - np.repeat(np.cumsum(n) - n, n)
         up, down = self.similarity
-        needed = -(-n * up // down)
-        prefix, needed = (n - needed + 1)[row], needed[row]
-        share = _lookup(self.homes, self.home_n, home)[row] / self.total
-        first = _mix(home[row], t)
-        start = place < prefix
-        light = df * share <= self.cell
-        single = np.flatnonzero(start & light & seen(self.repeated, t))
-        alone = np.flatnonzero(start & ~light & (needed <= 1))
-        out = [(row[x], first[x], place[x]) for x in (single, alone)]
-        heavy = np.flatnonzero(start & ~light)
-        for step in range(1, int(prefix.max(initial=0)) + 1):
-            i = heavy[heavy + step < len(t)]
-            j = i + step
-            ok = (row[j] == row[i]) & (place[j] < prefix[i] + 1)
-            i, j = i[ok], j[ok]
-            if not len(i):
-                break
-            second = _mix(first[i], t[j])
-            rare = df[i] * df[j] / self.total * share[i] <= self.cell
-            cells = rare | (needed[i] <= 2)
-            out.append((row[i[cells]], second[cells], place[j[cells]] - 1))
-            i2, j2, s2 = i[~rare], j[~rare], second[~rare]
-            for further in range(1, int(prefix.max(initial=0)) + 2):
-                a, k, s = i2, j2 + further, s2
-                inside = k < len(t)
-                a, k, s = a[inside], k[inside], s[inside]
-                ok = (row[k] == row[a]) & (place[k] < prefix[a] + 2)
-                a, k, s = a[ok], k[ok], s[ok]
-                if not len(a):
+        least = -(-n * up // down)
+        slack, least = (n - least)[row], least[row]
+        share = (np.minimum(np.maximum(frequency(self.homes, home), 1), self.total) / self.total)[row]
+        # Chains of words in order of place: where each ends, its hash, how many texts are expected to hold it.
+        end = np.flatnonzero((place <= slack) & (df > 0))
+        key, held, often, size, out = _mix(home[row[end]], t[end]), df[end] * share[end], df[end] > self.cell, 1, []
+        while len(end):
+            held = np.maximum(held, frequency(self.large, key))
+            few = held <= self.cell
+            cells = few & often if doubtful else few | (least[end] <= size)
+            out.append((row[end[cells]], key[cells], place[end[cells]] - size + 1))
+            base, key, held, often = end[~few], key[~few], held[~few], often[~few]
+            longer = []
+            for step in range(1, int(n.max(initial=1))):
+                inside = base + step < len(t)
+                base, key, held, often = base[inside], key[inside], held[inside], often[inside]
+                k = base + step
+                ok = (row[k] == row[base]) & (place[k] <= slack[k] + size)
+                base, key, held, often, k = base[ok], key[ok], held[ok], often[ok], k[ok]
+                if not len(base):
                     break
-                out.append((row[a], _mix(s, t[k]), place[k] - 2))
-        return tuple(np.concatenate(x) for x in zip(*out))
+                longer.append((k, _mix(key, t[k]), held * df[k] / self.total, often))
+            if not longer:
+                break
+            end, key, held, often = (np.concatenate(x) for x in zip(*longer))
+            size += 1
+        return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.empty(0, np.int64),) * 3
+
+    def doubtful(self, b: pa.RecordBatch) -> pa.RecordBatch:
+        lists = b.column(2)
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(self.of(b.column(1).to_numpy(), np.diff(offsets), lists.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]], True)[1])], ["v"])
 
     def batch(self, b: pa.RecordBatch) -> pa.RecordBatch:
         lists = b.column(2)
@@ -123,7 +148,7 @@ class Cells:
         row, key, q = self.of(b.column(1).to_numpy(), n, flat)
         low, high = embed(n, flat)
         take = pa.array(row)
-        return pa.RecordBatch.from_arrays([pa.array(key), b.column(0).take(take), pa.array(n[row].astype(np.int32)), pa.array(q.astype(np.int32)), pa.array(low[row]), pa.array(high[row])], ["key", "cls", "n", "q", "low", "high"])
+        return pa.RecordBatch.from_arrays([pa.array(key), b.column(0).take(take), pa.array(n[row] << 32 | q), pa.array(low[row]), pa.array(high[row])], ["key", "h", "nq", "low", "high"])
 
 
 def embed(n: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -134,57 +159,72 @@ def embed(n: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (counts[:, :16] << shifts).sum(axis=1, dtype=np.uint64).view(np.int64), (counts[:, 16:] << shifts).sum(axis=1, dtype=np.uint64).view(np.int64)
 
 
-def _table(pairs: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    pairs = sorted(pairs)
-    return np.array([k for k, _ in pairs], dtype=np.int64), np.array([v for _, v in pairs], dtype=np.int64)
-
-
-def _lookup(keys: np.ndarray, values: np.ndarray, x: np.ndarray) -> np.ndarray:
-    if not len(keys):
-        return np.zeros(len(x), dtype=np.int64)
-    at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
-    return np.where(keys[at] == x, values[at], 0)
-
-
 def manhattan(a: str, b: str) -> Column:
     """Distance of two embeddings, from their columns ``low`` and ``high``."""
     terms = [f"abs((shiftright({a}.{c}, {s}) & 15) - (shiftright({b}.{c}, {s}) & 15))" for c in ("low", "high") for s in range(0, 64, 4)]
     return F.expr(" + ".join(terms))
 
 
-def similar_pairs(classes: DataFrame, similarity: tuple[int, int] = SIMILARITY, cell: int = CELL) -> DataFrame:
-    """``(a, b)``: all pairs of classes of one concept at or above the similarity; ``classes`` is a checkpointed ``(cls, home, words)``."""
-    up, down = similarity
-    total, tokens = classes.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("words")), F.lit(0))).first()
-    least = max(cell, tokens // FREQUENT)
-    counted = classes.select(F.explode("words").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    counted = checkpoint(counted)
-    words = [tuple(r) for r in counted.where(F.col("n") > least).collect()]
-    homes = [tuple(r) for r in classes.groupBy("home").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least).collect()]
-    cells = Cells(words, homes, sketch(counted.select("w")), total, similarity, cell)
+def grid(classes: DataFrame, similarity: tuple[int, int] = SIMILARITY, cell: int = CELL) -> DataFrame:
+    """``(key, h, nq, low, high)``: the cells of every class with its size and embedding; ``h`` is a hash of the class.
+
+    A cell holds at most ``cell`` classes, unless they share all the words that one of them must share with a partner.
+    """
+    total = classes.count()
+    words = frequency_sketch(classes.select(F.explode("words").alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("n")))
+    homes = frequency_sketch(classes.groupBy(F.col("home").alias("v")).agg(F.count(F.lit(1)).alias("n")))
+    hashed = classes.select(F.xxhash64("cls").alias("h"), "home", "words")
+    large = np.zeros((2, 1 << SLOT_BITS), dtype=np.uint8)
+    # Words that go together make a cell larger than expected: such cells are counted and get longer too, until none is left.
+    while True:
+        cells = Cells(words, homes, large, total, similarity, cell)
+
+        def doubtful(batches: Iterator[pa.RecordBatch], cells: Cells = cells) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    yield cells.doubtful(b)
+
+        grown = checkpoint(hashed.mapInArrow(doubtful, "v bigint").groupBy("v").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cell))
+        if grown.isEmpty():
+            break
+        large = np.maximum(large, frequency_sketch(grown))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 yield cells.batch(b)
 
-    keys = classes.select("cls", "home", "words").mapInArrow(run, "key bigint, cls binary, n int, q int, low bigint, high bigint")
-    a, b = keys.alias("a"), keys.alias("b")
-    both = F.expr("cast(a.n AS int) + b.n")
-    shared = F.expr(f"cast(ceil((cast(a.n AS int) + b.n) * {up} / {up + down}) AS int)")
-    near = a.join(b, F.expr("a.key = b.key AND a.cls < b.cls") & (shared <= F.least("a.n", "b.n")) & (F.col("a.q") <= F.col("a.n") - shared) & (F.col("b.q") <= F.col("b.n") - shared) & (manhattan("a", "b") <= both - 2 * shared))
-    candidates = checkpoint(near.select(F.col("a.cls").alias("a"), F.col("b.cls").alias("b")).distinct())
-    involved = sketch(candidates.select(F.explode(F.array(F.xxhash64("a"), F.xxhash64("b"))).alias("h")))
+    # A hash of 64 bits stands for a class: a row is half as wide, and joining back by it can only add candidates.
+    return hashed.mapInArrow(run, "key bigint, h bigint, nq bigint, low bigint, high bigint")
+
+
+def candidates(classes: DataFrame, similarity: tuple[int, int] = SIMILARITY, cell: int = CELL) -> DataFrame:
+    """``(a, b)``, hashes of the classes of all pairs that share a cell of the grid and whose embeddings are near enough."""
+    up, down = similarity
+    keys = grid(classes, similarity, cell)
+    n = lambda x: f"shiftright({x}.nq, 32)"
+    q = lambda x: f"({x}.nq & 4294967295)"
+    shared = f"ceil(({n('a')} + {n('b')}) * {up} / {up + down})"
+    fits = f"a.key = b.key AND a.h < b.h AND {shared} <= least({n('a')}, {n('b')}) AND {q('a')} <= {n('a')} - {shared} AND {q('b')} <= {n('b')} - {shared}"
+    near = keys.alias("a").join(keys.alias("b"), F.expr(fits) & (manhattan("a", "b") <= F.expr(f"{n('a')} + {n('b')} - 2 * {shared}")))
+    return near.select(F.col("a.h").alias("a"), F.col("b.h").alias("b")).distinct()
+
+
+def similar_pairs(classes: DataFrame, similarity: tuple[int, int] = SIMILARITY, cell: int = CELL) -> DataFrame:
+    """``(a, b)``: all pairs of classes of one concept at or above the similarity; ``classes`` is a checkpointed ``(cls, home, words)``."""
+    up, down = similarity
+    found = checkpoint(candidates(classes, similarity, cell))
+    involved = sketch(found.select(F.explode(F.array("a", "b")).alias("h")))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            kept = x.filter(pa.array(seen(involved, x.column(2).to_numpy(zero_copy_only=False))))
-            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], ["cls", "words"])
+            yield x.filter(pa.array(seen(involved, x.column(0).to_numpy(zero_copy_only=False))))
 
-    some = classes.select("cls", "words", F.xxhash64("cls").alias("h")).mapInArrow(pick, "cls binary, words array<bigint>")
-    full = candidates.join(some.select(F.col("cls").alias("a"), F.col("words").alias("x")), "a").join(some.select(F.col("cls").alias("b"), F.col("words").alias("y")), "b")
-    same = F.size(F.array_intersect("x", "y"))
-    return full.where(same * down >= (F.size("x") + F.size("y") - same) * up).select("a", "b")
+    some = classes.select(F.xxhash64("cls").alias("h"), "cls", "home", "words").mapInArrow(pick, "h bigint, cls binary, home bigint, words array<bigint>")
+    side = lambda h, x: some.select(F.col("h").alias(h), F.struct("cls", "home", "words").alias(x))
+    full = found.join(side("a", "x"), "a").join(side("b", "y"), "b")
+    same = F.size(F.array_intersect("x.words", "y.words"))
+    return full.where((F.col("x.home") == F.col("y.home")) & (same * down >= (F.size("x.words") + F.size("y.words") - same) * up)).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
 
 
 def groups(claims: DataFrame, key: str = "claim_id", concept: str = "concept", text: str = "claim_text", similarity: tuple[int, int] = SIMILARITY, cell: int = CELL) -> DataFrame:

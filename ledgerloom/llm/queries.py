@@ -11,10 +11,11 @@ from ledgerloom.sources.tables import table
 
 #: Where the vocabulary files of public tokenizers lie; the same path on every executor.
 TOKENIZERS = os.environ.get("LEDGERLOOM_TOKENIZERS", "/opt/tokenizers")
+VOCABULARY = os.path.join(TOKENIZERS, "byte_bpe_50k.tiktoken")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return crosssplit.overlaps(table(spark, d, "dev_probes"), table(spark, d, "questions"))
+    return crosssplit.overlaps(table(spark, d, "dev_probes"), table(spark, d, "questions"), vocabulary=VOCABULARY)
 
 
 def p3_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -46,7 +47,7 @@ def p6_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
-    return tokenize.encode_corpus(table(spark, d, "documents"), os.path.join(TOKENIZERS, "byte_bpe_50k.tiktoken"))
+    return tokenize.encode_corpus(table(spark, d, "documents"), VOCABULARY)
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:

@@ -5,7 +5,10 @@ import random
 import re
 from collections import defaultdict
 
+import pytest
+
 from ledgerloom.llm import crosssplit, neardup, radix
+from ledgerloom.llm.queries import VOCABULARY
 from ledgerloom.operators.components import components
 from pyspark.sql import functions as F
 
@@ -107,6 +110,26 @@ def test_short_texts_of_frequent_words_and_very_long_texts(spark, monkeypatch):
     assert pairs(neardup.group_pairs(spark.createDataFrame([("l", "k", long), ("m", "k", long + " more")], schema))) == {("l", "m")}
 
 
+def test_cells_stay_small_though_words_go_together(spark):
+    r = random.Random(5)
+    phrase = "since the last release of this note all rows were kept as they are".split()
+    rows = [(f"c{i:04d}", "k", " ".join(r.sample(phrase, 11) + r.sample([f"w{j}" for j in range(40)], 6))) for i in range(900)]
+    c = neardup.checkpoint(neardup.fingerprints(spark.createDataFrame(rows, "claim_id string, concept string, claim_text string"), "claim_id", "concept", "claim_text").groupBy("cls").agg(F.first("home").alias("home"), F.first("words").alias("words")))
+    assert max(x["count"] for x in neardup.grid(c, (9, 10), 60).groupBy("key").count().collect()) <= 60
+    sets = {bytes(x.cls): set(x.words) for x in c.collect()}
+    want = {frozenset(p) for p in itertools.combinations(sets, 2) if 10 * len(sets[p[0]] & sets[p[1]]) >= 9 * len(sets[p[0]] | sets[p[1]])}
+    assert {frozenset((bytes(x.a), bytes(x.b))) for x in neardup.similar_pairs(c, (9, 10), 60).collect()} == want
+
+
+def test_frequencies_are_never_told_too_low(spark):
+    import numpy as np
+
+    rows = [(i * 7919 - 5 * 10**17 * (i % 3), 1 + i % 700) for i in range(3000)]
+    table = neardup.frequency_sketch(spark.createDataFrame(rows, "v bigint, n bigint"))
+    told = neardup.frequency(table, np.array([v for v, _ in rows]))
+    assert all(t >= n for t, (_, n) in zip(told, rows) if n > 1) and sum(t <= 1.2 * n for t, (_, n) in zip(told, rows)) > 2900
+
+
 # Formatting duplicates
 
 REG = "id string, source string, title string, canon string"
@@ -162,25 +185,29 @@ def test_overlaps(spark):
     fill = [(f"f{i}", f"Why does part{i} keep a lock before {i}.{i}.{i} joined the corrected rebalance of the cursor runs") for i in range(12)]
     t = spark.createDataFrame([(*p, "s", "clash") for p in probes + fill], TRAIN)
     e = spark.createDataFrame([("q1", base, "golden"), ("q1", base, "golden"), ("q2", None, "golden"), ("q3", "", "golden")], EVAL)
-    got = pairs(crosssplit.overlaps(t, e))
+    got = pairs(crosssplit.overlaps(t, e, vocabulary=VOCABULARY))
     assert got == {(p, "q1") for p in ("same", "shout", "order", "typo")}
-    counts = crosssplit.overlap_counts(crosssplit.overlaps(t, e), t, e).collect()
+    counts = crosssplit.overlap_counts(crosssplit.overlaps(t, e, vocabulary=VOCABULARY), t, e).collect()
     assert [(r.split, r.source_id, r.n_pairs, r.n_questions) for r in counts] == [("golden", "s", 4, 1)]
     assert crosssplit.overlaps(t.limit(0), e).count() == 0 and crosssplit.overlaps(t, e.limit(0)).count() == 0
 
 
-def test_added_and_ordinary_words_are_no_names(spark):
+def test_a_pair_has_the_same_answer_whatever_surrounds_it(spark):
     free = "Where does the operator keep the old journal while biranan drains its queue under load?"
     dated = "What evidence shows that sinozelt drained more mixed cursor than KAL-8463234 claimed?"
-    probes = [("word", free.replace("old", "worn")), ("added", free.replace("the old journal", "old journal") + " (short answer)"), ("name", free.replace("biranan", "zoferat")), ("short", dated.replace("more mixed ", "") + " (short answer)"), ("other", dated.replace("sinozelt", "zoferat"))]
-    fill = [(f"f{i}", f"Which {x} owner of part{x} saw the old and the worn gauge break down?") for i, x in enumerate("abcdef")]
-    t = spark.createDataFrame([(*p, "s", "clash") for p in probes + fill], TRAIN)
+    probes = [("word", free.replace("old", "worn")), ("added", free.replace("the old journal", "old journal") + " (short answer)"), ("name", free.replace("biranan", "zoferat")), ("misspelt", free.replace("biranan", "birannan")), ("short", dated.replace("more mixed ", "") + " (short answer)"), ("cable", dated.replace("cursor", "cable")), ("other", dated.replace("sinozelt", "zoferat"))]
+    fill = [(f"f{i}", f"Which {x}{y} owner of part{x}{y} saw the old and the worn gauge break down with cursor and cable?") for i, (x, y) in enumerate(itertools.product("abcdefgh", "abcde"))]
     e = spark.createDataFrame([("free", free, "golden"), ("dated", dated, "golden")], EVAL)
-    assert pairs(crosssplit.overlaps(t, e)) == {("word", "free"), ("added", "free"), ("short", "dated")}
+    for rows in (probes, probes + fill):
+        t = spark.createDataFrame([(*p, "s", "clash") for p in rows], TRAIN)
+        assert pairs(crosssplit.overlaps(t, e, vocabulary=VOCABULARY)) == {("word", "free"), ("added", "free"), ("misspelt", "free"), ("short", "dated"), ("cable", "dated")}
+    for p in probes:
+        one = spark.createDataFrame([(*p, "s", "clash")], TRAIN)
+        assert len(pairs(crosssplit.overlaps(one, e, vocabulary=VOCABULARY))) == (p[0] not in ("name", "other"))
 
 
-def test_every_pair_within_the_distance_is_found(spark, monkeypatch):
-    monkeypatch.setattr(crosssplit, "NAME_TOPICS", 0)
+@pytest.mark.parametrize("edits", [0.6, 0.25])
+def test_every_pair_within_the_distance_is_found(spark, edits):
     r = random.Random(11)
     vocabulary = [f"word{chr(97 + i)}" for i in range(26)] + ["7", "8"]
     base = [r.choices(vocabulary, k=r.randrange(1, 14)) for _ in range(12)]
@@ -201,10 +228,10 @@ def test_every_pair_within_the_distance_is_found(spark, monkeypatch):
     for (p, x, *_), (q, y, _) in itertools.product(t, e):
         a, b = sorted(re.findall(r"[a-z]+|\d", y)), sorted(re.findall(r"[a-z]+|\d", x))
         d = len(crosssplit._minus(a, b)) + len(crosssplit._minus(b, a))
-        if [w for w in a if w.isdigit()] == [w for w in b if w.isdigit()] and d <= int(len(a) * crosssplit.EDITS):
+        if [w for w in a if w.isdigit()] == [w for w in b if w.isdigit()] and d <= int(len(a) * edits):
             want.add((p, q))
-            assert crosssplit.word_distance(a, b, int(len(a) * crosssplit.EDITS)) == d
-    checked = crosssplit.overlaps(spark.createDataFrame(t, TRAIN), spark.createDataFrame(e, EVAL))
+            assert crosssplit.word_distance(a, b, int(len(a) * edits)) == d
+    checked = crosssplit.overlaps(spark.createDataFrame(t, TRAIN), spark.createDataFrame(e, EVAL), edits=edits)
     got = pairs(checked)
     assert got <= want
     assert got == want
