@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.durable import checkpoint
 from ledgerloom.functions.skew import salted_join
 
-#: Rows that fit a bucket, at least; and buckets at most, so that the list of split buckets stays bounded.
-BUCKET_ROWS, BUCKETS = 50_000, 4096
+#: Rows that fit a bucket, whatever the table's size, and bytes by which a larger one is split.
+BUCKET_ROWS, BYTES = 4096, 2
+#: Bytes of the list of buckets up to which it is broadcast; a longer one is joined by shuffling.
+BROADCAST = 4 << 20
 
 _DROP = r"[^\p{L}\p{N}\p{M}]+"
 
@@ -94,36 +98,46 @@ def _common(label: bytes, key: bytes, at: int) -> int:
     return low
 
 
+def _split(bucket_rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What becomes of each bucket ``(bucket, n, low, high)``: ``cut`` is how many bytes its rows are told apart by next (0: it stays), ``parts`` over how many parts it is spread."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cut, parts = [], []
+            for n, low, high in zip(*(b.column(i).to_pylist() for i in (1, 2, 3))):
+                cut.append(0 if n <= bucket_rows or low == high else _common(low, high, 0) + BYTES)
+                parts.append(-(-n // bucket_rows) if low == high else 1)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cut, pa.int32()), pa.array(parts, pa.int32())], ["bucket", "cut", "parts"])
+
+    return run
+
+
 def radix_buckets(rows: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """``rows`` with ``bucket`` (a prefix of ``canon``) and ``part``; no bucket part holds much more than fits.
+    """``rows`` with ``bucket`` (a prefix of ``canon``) and ``part``; no part of a bucket holds much more than fits.
 
-    A bucket with too many rows is split by the next byte in which its rows differ (the common prefix of
-    its least and greatest bytes is skipped); one that is a single value, so that no further byte can
-    split it, is spread over parts by the row's id. Only too large buckets reach the driver, of which
-    there are at most ``BUCKETS``.
+    All rows begin in one bucket. A bucket with too many rows is split by the next bytes in which its rows
+    differ (the common prefix of its least and greatest value is skipped), level by level and only where
+    needed; each level is checkpointed. A bucket of a single value, which no further byte can split, is
+    spread over parts by the row's id. Nothing about buckets reaches the driver but how much there is of it.
     """
-    rows = rows.withColumn("bucket", F.lit(b"")).withColumn("parts", F.lit(1))
-    total = rows.count()
-    fits = max(bucket_rows, -(-total // BUCKETS))
-    if total <= fits:
-        return rows.withColumn("part", F.lit(0)).drop("parts")
-    spark = rows.sparkSession
+    rest, done = rows.withColumn("bucket", F.lit(b"")), []
     while True:
-        size = rows.where("parts = 1").groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("canon").alias("low"), F.max("canon").alias("high"))
-        large = size.where(F.col("n") > fits).collect()
-        if not large:
-            break
-        split = [(bytes(r.bucket), _common(bytes(r.low), bytes(r.high), 0) + 1, -(-r.n // fits) if r.low == r.high else 1) for r in large]
-        cuts = spark.createDataFrame(split, "bucket binary, cut int, spread int")
-        rows = rows.join(F.broadcast(cuts), "bucket", "left").withColumn("bucket", F.when(F.col("spread") == 1, F.expr("substring(canon, 1, cut)")).otherwise(F.col("bucket"))).withColumn("parts", F.coalesce(F.nullif(F.col("spread"), F.lit(1)), F.col("parts"))).drop("cut", "spread")
-    return rows.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
+        size = rest.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("canon").alias("low"), F.max("canon").alias("high"))
+        fate = checkpoint(size.mapInArrow(_split(bucket_rows), "bucket binary, cut int, parts int"))
+        length, splits = fate.agg(F.coalesce(F.sum(F.octet_length("bucket") + 16), F.lit(0)), F.count_if(F.col("cut") > 0)).first()
+        met = rest.join(F.broadcast(fate) if length <= BROADCAST else fate, "bucket")
+        done.append(met.where("cut = 0").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("cut", "parts"))
+        if not splits:
+            return functools.reduce(DataFrame.unionByName, done)
+        rest = checkpoint(met.where("cut > 0").withColumn("bucket", F.expr("substring(canon, 1, cut)")).drop("cut", "parts"))
 
 
 def _count(pdf: pd.DataFrame) -> pd.DataFrame:
-    trie = Trie()
-    for canon, ident, n in zip(pdf["canon"], pdf["id"], pdf["n"]):
-        trie.add(bytes(canon), ident, n)
-    return pd.DataFrame(list(trie.terminals()), columns=["canon", "n_ids", "n_rows", "keep_id"])
+    """A trie per bucket (and part) of the few that meet in a task."""
+    tries: dict[tuple[bytes, int], Trie] = {}
+    for bucket, part, canon, ident, n in zip(pdf["bucket"], pdf["part"], pdf["canon"], pdf["id"], pdf["n"]):
+        tries.setdefault((bytes(bucket), part), Trie()).add(bytes(canon), ident, n)
+    return pd.DataFrame([x for t in tries.values() for x in t.terminals()], columns=["canon", "n_ids", "n_rows", "keep_id"])
 
 
 def _rows(records: DataFrame, key: str, source: str, title: str) -> DataFrame:
@@ -132,7 +146,9 @@ def _rows(records: DataFrame, key: str, source: str, title: str) -> DataFrame:
 
 
 def _kept(rows: DataFrame, bucket_rows: int) -> DataFrame:
-    counted = radix_buckets(rows, bucket_rows).groupBy("bucket", "part").applyInPandas(_count, "canon binary, n_ids bigint, n_rows bigint, keep_id string")
+    tasks = max(1, -(-rows.count() // bucket_rows))
+    placed = radix_buckets(rows, bucket_rows).withColumn("task", F.pmod(F.xxhash64("bucket", "part"), F.lit(tasks)))
+    counted = placed.groupBy("task").applyInPandas(_count, "canon binary, n_ids bigint, n_rows bigint, keep_id string")
     return counted.groupBy("canon").agg(F.sum("n_ids").alias("n_ids"), F.sum("n_rows").alias("n_rows"), F.min("keep_id").alias("keep_id"))
 
 
