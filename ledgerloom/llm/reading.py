@@ -17,7 +17,7 @@ from ledgerloom.functions.skew import salted_join
 #: Share of a document's words that its vocabulary must cover.
 COVER = 0.9
 #: Ranked words every task holds, at most; ranks of rarer words are looked up by a join.
-RANKED = 200_000
+RANKED = 20_000
 #: Levels, from plain to most demanding.
 LOWEST, HIGHEST = 1, 5
 #: What the level is a linear function of.
@@ -73,18 +73,18 @@ def ranks(words: DataFrame) -> DataFrame:
     return words.groupBy("n").agg(F.count(F.lit(1)).alias("n_words")).select("n", "n_words", F.sum("n_words").over(order).alias("rank"))
 
 
-def features(documents: DataFrame, words: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def features(documents: DataFrame, words: DataFrame, key: str = "doc_id", text: str = "text", ranked: int = RANKED) -> DataFrame:
     """``(doc_id, coverage_rank, n_words, …FEATURES)`` of every document; a document without words has null features.
 
     ``coverage_rank`` is the size of the smallest frequency-ranked vocabulary that covers ``COVER`` of its words.
     The most frequent words are held by the tasks. A document that needs a rarer one hands out its rarer
     words, which meet their ranks in a join; documents of equal such words are looked up once.
     """
-    by_n = {r.n: r["rank"] for r in ranks(words).collect()}
-    total = max(by_n.values(), default=0)
-    least = min((n for n, x in by_n.items() if x <= RANKED), default=None)
-    held = {r.word: by_n[r.n] for r in words.where(F.col("n") >= least).select("word", "n").toLocalIterator()} if least is not None else {}
-    deep = total > RANKED
+    order = checkpoint(ranks(words))
+    total, least = order.agg(F.coalesce(F.max("rank"), F.lit(0)), F.min(F.when(F.col("rank") <= ranked, F.col("n")))).first()
+    # The most frequent words have few frequencies of their own, so no key of this join is hot.
+    held = {r.word: r.rank for r in words.where(F.col("n") >= least).join(order.where(F.col("rank") <= ranked), "n").select("word", "rank").toLocalIterator()} if least is not None else {}
+    deep = total > ranked
     kind = documents.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,15 +115,15 @@ def features(documents: DataFrame, words: DataFrame, key: str = "doc_id", text:
     if not deep:
         return rows.select(names)
     rows = checkpoint(rows.withColumn("text_key", F.when(F.col("need").isNotNull(), F.unhex(F.md5(F.concat_ws(" ", F.col("need").cast("string"), "rest"))))))
-    exact = _rare_ranks(rows.where("need IS NOT NULL"), words, least, total)
+    exact = _rare_ranks(rows.where("need IS NOT NULL"), words, order, least, total)
     found = salted_join(rows.where("need IS NOT NULL").drop("coverage_rank", "log_rank"), exact, ["text_key"], ["doc_id", "n_words"])
     return rows.where("need IS NULL").select(names).unionByName(found.withColumn("log_rank", F.log(F.col("coverage_rank").cast("double"))).select(names))
 
 
-def _rare_ranks(rows: DataFrame, words: DataFrame, least: int | None, total: int) -> DataFrame:
+def _rare_ranks(rows: DataFrame, words: DataFrame, order: DataFrame, least: int | None, total: int) -> DataFrame:
     """``(text_key, coverage_rank)``: the rank of the ``need``-th of the rarer words ``rest``, once per key."""
     rarer = words if least is None else words.where(F.col("n") < least)
-    ranked = salted_join(rarer, ranks(words).select("n", "rank"), ["n"], ["word"]).select("word", "rank")
+    ranked = salted_join(rarer, order.select("n", "rank"), ["n"], ["word"]).select("word", "rank")
     asked = rows.groupBy("text_key").agg(F.first("need").alias("need"), F.first("rest").alias("rest")).select("text_key", "need", F.explode("rest").alias("word"))
     known = asked.join(ranked, "word", "left").select("text_key", "need", F.coalesce("rank", F.lit(total + 1)).alias("rank"))
     return known.groupBy("text_key").agg(F.sort_array(F.collect_list("rank")).alias("r"), F.first("need").alias("need")).select("text_key", F.element_at("r", F.col("need")).alias("coverage_rank"))
@@ -170,9 +170,8 @@ def reading_levels(documents: DataFrame, labels: DataFrame, key: str = "doc_id",
     all if nothing is graded, have null level and score; repeated rows are kept as they are.
     """
     words = checkpoint(vocabulary(documents, text))
-    rows = features(documents, words, key, text)
-    known = features(documents.join(labels.select(F.col("doc_id").alias(key)).distinct(), key, "left_semi"), words, key, text)
-    weights = calibration(known, labels)
+    rows = checkpoint(features(documents, words, key, text))
+    weights = calibration(rows, labels)
     score = F.when(F.col("n_words") > 0, estimate(weights)) if weights else F.lit(None).cast("double")
     return rows.select("doc_id", "coverage_rank", "n_words", F.round(score).cast("int").alias("level"), F.round(score, 3).alias("score"))
 

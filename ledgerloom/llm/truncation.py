@@ -14,8 +14,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Distinct texts the classifier is fitted on, at most; all other figures come from all rows.
+#: Distinct texts the classifier is fitted on, chosen by hash so that no more are expected; all other figures come from all rows.
 SAMPLE = 20_000
+#: Texts and share of all texts that a usual length has at least, and how far it must stand out from the lengths beside it.
+LIMIT_TEXTS, LIMIT_SHARE, STANDS_OUT = 5, 1e-4, 2.5
 #: Size of the hashed feature space, rounds of training, penalty, step.
 SPACE, ROUNDS, PENALTY, RATE = 1 << 12, 400, 1e-5, 0.3
 #: Score from which a text counts as cut.
@@ -76,7 +78,7 @@ def features(text: str, limits: frozenset[int]) -> list[int]:
     shape = _shape(last)
     open_ = balance(bare)
     entity = "&" in bare[-8:] and ";" not in bare[-8:]
-    limit = "limit" if len(text) in limits else ""
+    limit = next((str(k) for k in range(3) if len(text) + k in limits), "")
     f = [f"k{form}", f"e{form}{kind}", f"s{form}{shape[-6:]}", f"S{kind}{shape[-4:]}", f"m{mark}{kind}", f"a{after}{kind}", f"l{limit}{kind}{form}", f"M{mark}", f"x{entity}", f"n{min(len(open_), 2)}", f"d{dots if dots < 3 else 3}{shape[-5:]}"]
     f += [f"o{m}{form}" for m in open_]
     return [zlib.crc32(x.encode()) % SPACE for x in f]
@@ -135,11 +137,20 @@ def cuts(texts: list[str], limits: frozenset[int], seed: int = 7) -> list[str]:
     return out
 
 
-def usual_limits(lengths: list[tuple[int, int]]) -> frozenset[int]:
-    """Lengths that far more texts have than the lengths beside them."""
-    n = dict(lengths)
-    near = lambda x: np.median([n.get(x + k, 0) for k in (-3, -2, -1, 1, 2, 3)])
-    return frozenset(x for x, c in n.items() if c >= 5 and c > 2.5 * near(x) + 3)
+def usual_limits(values: DataFrame, text: str) -> tuple[frozenset[int], int]:
+    """Lengths that far more texts have than the lengths beside them, and how many texts there are.
+
+    All texts and all lengths count. A usual length has a share of the texts, so there are at most
+    1 / ``LIMIT_SHARE`` of them, whatever the lengths and the size of the table.
+    """
+    lengths = values.where(F.col(text).isNotNull()).groupBy(F.length(text).alias("n")).agg(F.count(F.lit(1)).alias("c"))
+    beside = F.array(*(F.struct((F.col("n") + k).alias("n"), F.lit(k).alias("k"), "c") for k in range(-3, 4)))
+    around = lengths.select(F.explode(beside).alias("x")).select("x.*").groupBy("n").agg(F.max(F.when(F.col("k") == 0, F.col("c"))).alias("c"), *(F.coalesce(F.max(F.when(F.col("k") == k, F.col("c"))), F.lit(0)).alias(f"k{i}") for i, k in enumerate((-3, -2, -1, 1, 2, 3))))
+    order = F.array_sort(F.array(*(f"k{i}" for i in range(6))))
+    middle = (F.element_at(order, 3) + F.element_at(order, 4)) / 2
+    total = lengths.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    found = around.where((F.col("c") >= max(LIMIT_TEXTS, LIMIT_SHARE * total)) & (F.col("c") > STANDS_OUT * middle + 3)).select("n").collect()
+    return frozenset(r.n for r in found), total
 
 
 def fit(texts: list[str], limits: frozenset[int], seed: int = 7) -> Model:
@@ -171,14 +182,11 @@ def fit(texts: list[str], limits: frozenset[int], seed: int = 7) -> Model:
 
 
 def train(values: DataFrame, text: str, sample: int = SAMPLE) -> Model:
-    """The model for a column: limits from the lengths of all its texts, weights from at most ``sample`` distinct ones chosen by hash."""
-    named = values.where(F.col(text).isNotNull()).select(F.col(text).alias("t"))
-    lengths = named.groupBy(F.length("t").alias("n")).agg(F.count(F.lit(1)).alias("c")).where("n <= 65536").collect()
-    total = sum(r.c for r in lengths)
-    part = max(1, total // (2 * sample))
-    hashed = named.withColumn("h", F.xxhash64("t")).where(F.pmod("h", F.lit(part)) == 0)
-    chosen = hashed.groupBy("h").agg(F.min("t").alias("t")).orderBy("h").limit(sample).collect()
-    return fit([r.t for r in chosen], usual_limits([(r.n, r.c) for r in lengths]))
+    """The model for a column: limits from the lengths of all its texts, weights from about ``sample`` distinct ones or fewer, chosen by hash."""
+    limits, total = usual_limits(values, text)
+    hashed = values.where(F.col(text).isNotNull()).select(F.col(text).alias("t")).withColumn("h", F.xxhash64("t")).where(F.pmod("h", F.lit(max(1, -(-total // sample)))) == 0)
+    chosen = hashed.groupBy("h").agg(F.min("t").alias("t")).collect()
+    return fit([r.t for r in sorted(chosen, key=lambda r: r.h)], limits)
 
 
 def scored(values: DataFrame, model: Model, key: str, text: str) -> DataFrame:

@@ -1,10 +1,13 @@
 """Tokenizer, leakage, truncation and reading level."""
 
+import os
 import random
 
+import numpy as np
 import pytest
 from ledgerloom.llm import leakage, reading, tokenize, truncation
 
+DATA = "/root/testdata/sf0.01"
 P = pytest.importorskip("public_tokenizers")
 PATH = P.path("byte_bpe_50k.tiktoken")
 ODD = ["", " ", "\n\n  x", "<|endoftext|> it's", "naïve café", "日本語のテキスト", "🙂🙂 ​zero­soft", "a\r\nb\tc", "x" * 5000, "don't WE'LL 12345 ١٢٣", "\x00\x01\x1f", "  trailing   "]
@@ -142,8 +145,31 @@ def test_truncated_table(spark):
     assert truncation.truncated(df.limit(0)).count() == 0
 
 
-def test_usual_limits():
-    assert truncation.usual_limits([(i, 10) for i in range(50, 300)] + [(160, 200)]) == frozenset({160})
+def test_usual_limits(spark):
+    long = 100_000
+    rows = [("x" * i,) for i in range(50, 300) for _ in range(10)] + [("y" * 160,)] * 190 + [("z" * long,)] * 9 + [(None,)]
+    assert truncation.usual_limits(spark.createDataFrame(rows, "quote string"), "quote") == (frozenset({160, long}), 2500 + 190 + 9)
+    assert truncation.usual_limits(spark.createDataFrame([], "quote string"), "quote") == (frozenset(), 0)
+
+
+@pytest.mark.skipif(not os.path.exists(DATA), reason="no test data here")
+def test_held_out_cuts_of_the_given_quotes(spark):
+    quotes = sorted({r.quote for r in spark.read.parquet(f"{DATA}/claims.parquet").where("quote IS NOT NULL").select("quote").collect()})
+    model = truncation.fit(quotes[::2], frozenset())
+    rest = [t for t in quotes[1::2] if truncation.intact(t)]
+    cut = truncation.cuts(rest, frozenset(), seed=99)
+    assert len(rest) > 500 and (model.scores(cut) > truncation.CUT).mean() > 0.97
+    assert (model.scores(rest) > truncation.CUT).mean() < 0.01
+
+
+@pytest.mark.skipif(not os.path.exists(DATA), reason="no test data here")
+def test_levels_of_held_out_documents(spark):
+    docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/level_labels.parquet")
+    got = {r.doc_id: r for r in reading.reading_levels(docs, labels.where("doc_id % 2 = 0")).collect()}
+    held = {r.doc_id: r.level for r in reading.graded(labels.where("doc_id % 2 = 1")).collect() if got[r.doc_id].level}
+    level, score = [got[i].level for i in held], [got[i].score for i in held]
+    assert len(held) > 30 and np.corrcoef(score, list(held.values()))[0, 1] > 0.85
+    assert np.mean([abs(a - b) <= 1 for a, b in zip(level, held.values())]) > 0.9
 
 
 def test_reading_levels(spark):
@@ -168,7 +194,7 @@ def test_coverage_rank(spark):
     assert {r.doc_id: r.coverage_rank for r in reading.features(df, words).collect()} == {1: 2, 2: 4}
 
 
-def test_coverage_rank_beyond_the_ranked_words(spark, monkeypatch):
+def test_coverage_rank_beyond_the_ranked_words(spark):
     r = random.Random(8)
     docs = [(i, " ".join(f"{'abcdefgh'[int(r.random() ** 3 * 8)]}{'xyz' * r.randrange(1, 2 + i % 9)}" for _ in range(r.randrange(1, 30)))) for i in range(60)] + [(70, None), (71, ""), (3, "only once seen words here"), (3, "only once seen words here")]
     df = spark.createDataFrame(docs, "doc_id bigint, text string")
@@ -176,8 +202,7 @@ def test_coverage_rank_beyond_the_ranked_words(spark, monkeypatch):
     whole = sorted(tuple(x) for x in reading.features(df, words).collect() if x.n_words)
     assert max(x[1] for x in whole) > 20
     for ranked in (20, 4, 0):
-        monkeypatch.setattr(reading, "RANKED", ranked)
-        cut = sorted(tuple(x) for x in reading.features(df, words).collect() if x.n_words)
+        cut = sorted(tuple(x) for x in reading.features(df, words, ranked=ranked).collect() if x.n_words)
         assert [x[:3] for x in cut] == [x[:3] for x in whole]
         assert all(abs(a[3] - b[3]) < 1e-12 and a[4:] == b[4:] for a, b in zip(cut, whole))
     assert reading.features(df, words).count() == len(docs)
