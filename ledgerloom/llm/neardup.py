@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.durable import checkpoint
 from ledgerloom.functions.keys import spelling_key
+from ledgerloom.functions.skew import salted_join
 from ledgerloom.operators.components import components
 
 #: The least similarity, as a fraction.
@@ -32,6 +33,8 @@ SIMILARITY = (3, 5)
 CELL = 200
 #: Bits of a slot's number in the two rows of a frequency sketch, and its steps per doubling.
 SLOT_BITS, STEPS = 20, 4
+#: Classes whose cells make up a task of the grid join.
+CLASSES_A_TASK = 8192
 #: Bits of the sketch that tells which values occur at all; a false hit costs a row, never a result.
 SKETCH_BITS = 24
 
@@ -99,7 +102,8 @@ class Cells:
     def of(self, home: np.ndarray, n: np.ndarray, flat: np.ndarray, doubtful: bool = False) -> tuple[np.ndarray, ...]:
         """``row, key, q`` of every cell of every row; q is how many words before the cell's last one are not in the cell.
 
-        If ``doubtful``, only cells that are expected to be small enough but may be larger, as all their words are frequent.
+        If ``doubtful``, only cells that are expected to be small enough but may be larger, as all their words
+        are frequent: those not counted before, which are the ones behind a cell that was found to be large.
         """
         row = np.repeat(np.arange(len(n)), n)
         df = np.minimum(frequency(self.words, flat), self.total)
@@ -113,25 +117,27 @@ class Cells:
         # Chains of words in order of place: where each ends, its hash, how many texts are expected to hold it.
         end = np.flatnonzero((place <= slack) & (df > 0))
         key, held, often, size, out = _mix(home[row[end]], t[end]), df[end] * share[end], df[end] > self.cell, 1, []
+        fresh = np.full(len(end), not self.large.any())
         while len(end):
-            held = np.maximum(held, frequency(self.large, key))
+            counted = frequency(self.large, key)
+            fresh, held = fresh | ((counted > self.cell) & (held <= self.cell)), np.maximum(held, counted)
             few = held <= self.cell
-            cells = few & often if doubtful else few | (least[end] <= size)
+            cells = few & often & fresh if doubtful else few | (least[end] <= size)
             out.append((row[end[cells]], key[cells], place[end[cells]] - size + 1))
-            base, key, held, often = end[~few], key[~few], held[~few], often[~few]
+            base, key, held, often, fresh = end[~few], key[~few], held[~few], often[~few], fresh[~few]
             longer = []
             for step in range(1, int(n.max(initial=1))):
                 inside = base + step < len(t)
-                base, key, held, often = base[inside], key[inside], held[inside], often[inside]
+                base, key, held, often, fresh = base[inside], key[inside], held[inside], often[inside], fresh[inside]
                 k = base + step
                 ok = (row[k] == row[base]) & (place[k] <= slack[k] + size)
-                base, key, held, often, k = base[ok], key[ok], held[ok], often[ok], k[ok]
+                base, key, held, often, fresh, k = base[ok], key[ok], held[ok], often[ok], fresh[ok], k[ok]
                 if not len(base):
                     break
-                longer.append((k, _mix(key, t[k]), held * df[k] / self.total, often))
+                longer.append((k, _mix(key, t[k]), held * df[k] / self.total, often, fresh))
             if not longer:
                 break
-            end, key, held, often = (np.concatenate(x) for x in zip(*longer))
+            end, key, held, often, fresh = (np.concatenate(x) for x in zip(*longer))
             size += 1
         return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.empty(0, np.int64),) * 3
 
@@ -201,7 +207,8 @@ def grid(classes: DataFrame, similarity: tuple[int, int] = SIMILARITY, cell: int
 def candidates(classes: DataFrame, similarity: tuple[int, int] = SIMILARITY, cell: int = CELL) -> DataFrame:
     """``(a, b)``, hashes of the classes of all pairs that share a cell of the grid and whose embeddings are near enough."""
     up, down = similarity
-    keys = grid(classes, similarity, cell)
+    # As many partitions as keep one at some ten megabytes whatever there is in all; both sides are one exchange.
+    keys = grid(classes, similarity, cell).repartition(min(100_000, max(classes.sparkSession.sparkContext.defaultParallelism, -(-classes.count() // CLASSES_A_TASK))), "key")
     n = lambda x: f"shiftright({x}.nq, 32)"
     q = lambda x: f"({x}.nq & 4294967295)"
     shared = f"ceil(({n('a')} + {n('b')}) * {up} / {up + down})"
@@ -249,10 +256,10 @@ def groups(claims: DataFrame, key: str = "claim_id", concept: str = "concept", t
 def group_pairs(claims: DataFrame, key: str = "claim_id", concept: str = "concept", text: str = "claim_text") -> DataFrame:
     """``(claim_id_a, claim_id_b)``: all pairs within the groups of ``groups``, smaller id first."""
     rows = fingerprints(claims, key, concept, text)
-    classes = checkpoint(rows.groupBy("cls").agg(F.first("home").alias("home"), F.first("words").alias("words")))
-    label = components(checkpoint(similar_pairs(classes)), "a", "b")
-    members = rows.select("cls", "id").distinct()
-    g = members.join(label.withColumnRenamed("node", "cls"), "cls", "left").select(F.coalesce("label", "cls").alias("g"), "id").distinct()
-    several = checkpoint(g.join(g.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g"), "g"))
+    classes = checkpoint(rows.groupBy("cls").agg(F.first("home").alias("home"), F.first("words").alias("words"), (F.min("id") < F.max("id")).alias("several")))
+    label = components(checkpoint(similar_pairs(classes)), "a", "b").withColumnRenamed("node", "cls")
+    # Only classes that are linked or stand for several ids have pairs.
+    heads = label.unionByName(classes.where("several").select("cls", F.col("cls").alias("label"))).groupBy("cls").agg(F.min("label").alias("g"))
+    several = checkpoint(salted_join(rows.select("cls", "id"), heads, ["cls"], ["id"], salts=8).select("g", "id").distinct())
     a, b = several.alias("a"), several.alias("b")
     return a.join(b, F.expr("a.g = b.g AND a.id < b.id")).select(F.col("a.id").alias("claim_id_a"), F.col("b.id").alias("claim_id_b"))
