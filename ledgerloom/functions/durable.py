@@ -8,12 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The session's shared checkpoint folder; a local one is set only where none is configured (tests)."""
+    """The session's shared checkpoint folder; a local one is set only where none is configured and the session is local (tests).
+
+    A cluster's executors share no local folder, so a session on one without ``spark.checkpoint.dir`` is refused.
+    """
     sc = spark.sparkContext
     held = sc.getCheckpointDir()
     if held:
         return held
     configured = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="ledgerloom-"))
     return sc.getCheckpointDir()
 

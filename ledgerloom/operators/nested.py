@@ -20,13 +20,20 @@ SHAPE = "claim_id string, rec bigint, sources array<boolean>, anchors array<stru
 
 NODES = "claim_id string, rec bigint, kind string, pre int, post int, place int"
 
+#: The scalar fields of an anchor with their types, in order.
+ANCHOR = {"source_id": "string", "anchor": "string", "page": "int", "section": "string", "paragraph": "int", "quote": "string", "path": "string", "line_start": "int", "line_end": "int", "commit": "string", "extraction_confidence": "double", "segment_id": "string"}
+
 
 def typed_shape(claims: DataFrame) -> DataFrame:
     """Shapes of records in typed columns ``claim_id``, ``source_ids`` and ``source_anchors``."""
+    return _shaped(claims, F.col("claim_id"), *_shapes())
+
+
+def _shapes() -> tuple[Column, Column]:
     there = lambda x: x.isNotNull()
     span = lambda s: F.struct(s.isNotNull().alias("there"), F.transform(s["labels"], there).alias("labels"))
     anchor = lambda a: F.struct(a.isNotNull().alias("there"), F.transform(a["spans"], span).alias("spans"))
-    return _shaped(claims, F.col("claim_id"), F.transform("source_ids", there), F.transform("source_anchors", anchor))
+    return F.transform("source_ids", there), F.transform("source_anchors", anchor)
 
 
 def _shaped(df: DataFrame, claim: Column, sources: Column, anchors: Column) -> DataFrame:
@@ -64,6 +71,34 @@ def feed_shape(feed: DataFrame, payload: str = "payload") -> DataFrame:
     return _shaped(r, F.try_variant_get("r", "$.claim_id", "string"), F.transform(_evidence(F.col("r"), "source_ids"), there), F.transform(_evidence(F.col("r"), "source_anchors"), anchor))
 
 
+def typed_records(claims: DataFrame) -> DataFrame:
+    """``(claim_id, rec, source_ids, source_anchors)`` of typed claims, whole; ``rec`` is a hash of the two lists."""
+    return _recorded(claims.select("claim_id", "source_ids", F.transform("source_anchors", lambda a: F.when(a.isNotNull(), F.struct(*(a[f].cast(t).alias(f) for f, t in ANCHOR.items()), a["spans"].alias("spans")))).alias("source_anchors")))
+
+
+def feed_records(feed: DataFrame, payload: str = "payload") -> DataFrame:
+    """The same of raw JSON payloads: a value of another type than its field's is null, as is a JSON null."""
+    value = lambda v, f, t: F.try_variant_get(v, f"$.{f}", t).alias(f)
+    there = lambda v: v.isNotNull() & ~F.is_variant_null(v)
+    text = lambda v: F.when(there(v), F.try_variant_get(v, "$", "string"))
+    span = lambda s: F.when(there(s), F.struct(value(s, "start_char", "bigint"), value(s, "end_char", "bigint"), F.transform(_list(s, "$.labels"), text).alias("labels")))
+    anchor = lambda a: F.when(there(a), F.struct(*(value(a, f, t) for f, t in ANCHOR.items()), F.transform(_list(a, "$.spans"), span).alias("spans")))
+    r = feed.where(F.col(payload).isNotNull()).select(feed_record(F.col(payload)).alias("r"))
+    return _recorded(r.select(F.try_variant_get("r", "$.claim_id", "string").alias("claim_id"), F.transform(_evidence(F.col("r"), "source_ids"), text).alias("source_ids"), F.transform(_evidence(F.col("r"), "source_anchors"), anchor).alias("source_anchors")))
+
+
+def _recorded(rows: DataFrame) -> DataFrame:
+    """Whole records with their hash; equal ones are merged, on the map side first."""
+    known = rows.where("claim_id IS NOT NULL").withColumn("rec", F.xxhash64("source_ids", "source_anchors"))
+    return known.groupBy("claim_id", "rec").agg(F.first("source_ids").alias("source_ids"), F.first("source_anchors").alias("source_anchors"))
+
+
+def record_shapes(records: DataFrame) -> DataFrame:
+    """Shapes of whole records, under the same ``rec``."""
+    sources, anchors = _shapes()
+    return records.select("claim_id", "rec", sources.alias("sources"), anchors.alias("anchors"))
+
+
 def _lists(a: pa.ListArray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Starts and lengths of the lists (0 for null ones) within their values."""
     offsets = a.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
@@ -152,16 +187,18 @@ def label_nodes(shapes: DataFrame) -> DataFrame:
     return once.mapInArrow(run, NODES)
 
 
-def link(nodes: DataFrame, child: str, parent: str) -> DataFrame:
-    """Each ``child`` node with the place and pre of the ``parent`` node whose interval contains it.
+def link(nodes: DataFrame, child: str, *parents: str) -> DataFrame:
+    """Each ``child`` node with the pre and place of the nodes of the ``parents`` kinds whose intervals contain it (``<kind>_pre``, ``<kind>_no``).
 
-    Intervals of a tree nest, so in pre order the containing parent is the last parent node begun; its
+    Intervals of a tree nest, so in pre order the containing node of a kind is the last one of it begun; its
     post must be the greater one. One sweep per record instead of a range join; a record never exceeds a row.
     """
     order = Window.partitionBy("claim_id", "rec").orderBy("pre").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.last(F.when(F.col("kind") == parent, F.struct("pre", "post", "place")), ignorenulls=True).over(order)
-    swept = nodes.where(F.col("kind").isin(child, parent)).withColumn("up", last)
-    return swept.where((F.col("kind") == child) & (F.col("up.post") > F.col("post"))).select("claim_id", "rec", "pre", "post", "place", F.col("up.pre").alias("parent_pre"), F.col("up.place").alias("parent_place"))
+    swept = nodes.where(F.col("kind").isin(child, *parents))
+    swept = swept.select("*", *(F.last(F.when(F.col("kind") == p, F.struct("pre", "post", "place")), ignorenulls=True).over(order).alias(f"up_{p}") for p in parents)).where(F.col("kind") == child)
+    for p in parents:
+        swept = swept.where(F.col(f"up_{p}.post") > F.col("post"))
+    return swept.select("claim_id", "rec", "pre", "post", "place", *(F.col(f"up_{p}.{a}").alias(f"{p}_{b}") for p in parents for a, b in (("pre", "pre"), ("place", "no"))))
 
 
 def child_elements(shapes: DataFrame) -> DataFrame:
@@ -171,27 +208,48 @@ def child_elements(shapes: DataFrame) -> DataFrame:
     """
     nodes = label_nodes(shapes)
     top = nodes.where(F.col("kind").isin("source_id", "anchor")).select("claim_id", F.col("kind").alias("child"), F.col("place").alias("item_no"), F.lit(0).alias("span_no"))
-    spans = link(nodes, "span", "anchor").select("claim_id", F.lit("span").alias("child"), F.col("parent_place").alias("item_no"), F.col("place").alias("span_no"))
+    spans = link(nodes, "span", "anchor").select("claim_id", F.lit("span").alias("child"), F.col("anchor_no").alias("item_no"), F.col("place").alias("span_no"))
     return top.unionByName(spans).distinct()
 
 
-def anchor_table(claims: DataFrame) -> DataFrame:
-    """``(claim_id, item_no, …)``: the anchors as a flat table with their place in the claim; repeated rows once.
+def node_table(records: DataFrame) -> DataFrame:
+    """``(claim_id, rec, kind, pre, post, place)``: every node of every whole record with its interval."""
+    return label_nodes(record_shapes(records))
+
+
+def _with_record(nodes: DataFrame, records: DataFrame) -> DataFrame:
+    return nodes.join(records, ["claim_id", "rec"])
+
+
+def source_table(records: DataFrame) -> DataFrame:
+    """``(claim_id, item_no, source_id)``: the source ids with their place; a null element gives no row, an empty one does."""
+    n = link(node_table(records), "source_id", "claim")
+    return _with_record(n, records).select("claim_id", F.col("place").alias("item_no"), F.element_at("source_ids", F.col("place")).alias("source_id")).distinct()
+
+
+def anchor_table(records: DataFrame) -> DataFrame:
+    """``(claim_id, item_no, …fields)``: the anchors, found as nodes inside their claim, with all scalar fields; repeated rows once.
 
     A null anchor gives no row, an anchor of nulls does.
     """
-    a = claims.where("claim_id IS NOT NULL").select("claim_id", F.posexplode("source_anchors").alias("i", "a")).where("a IS NOT NULL")
-    return a.select("claim_id", (F.col("i") + 1).alias("item_no"), *(f"a.{n}" for n in ("source_id", "anchor", "page", "section", "path", "line_start", "line_end"))).distinct()
+    a = _with_record(link(node_table(records), "anchor", "claim"), records).select("claim_id", F.col("place").alias("item_no"), F.element_at("source_anchors", F.col("place")).alias("a"))
+    return a.select("claim_id", "item_no", *(f"a.{f}" for f in ANCHOR)).distinct()
+
+
+def span_table(records: DataFrame) -> DataFrame:
+    """``(claim_id, item_no, span_no, start_char, end_char, n_labels)``: the spans, linked to the anchor whose interval contains theirs."""
+    s = _with_record(link(node_table(records), "span", "anchor"), records).select("claim_id", F.col("anchor_no").alias("item_no"), F.col("place").alias("span_no"), F.element_at(F.element_at("source_anchors", F.col("anchor_no"))["spans"], F.col("place")).alias("s"))
+    return s.select("claim_id", "item_no", "span_no", "s.start_char", "s.end_char", F.size(F.filter(F.coalesce("s.labels", F.array().cast("array<string>")), lambda x: x.isNotNull())).alias("n_labels")).distinct()
 
 
-def span_table(claims: DataFrame) -> DataFrame:
-    """``(claim_id, item_no, span_no, start_char, end_char, labels)``: the spans as a flat table; repeated rows once."""
-    a = claims.where("claim_id IS NOT NULL").select("claim_id", F.posexplode("source_anchors.spans").alias("i", "p"))
-    s = a.select("claim_id", (F.col("i") + 1).alias("item_no"), F.posexplode("p").alias("k", "s")).where("s IS NOT NULL")
-    return s.select("claim_id", "item_no", (F.col("k") + 1).alias("span_no"), "s.start_char", "s.end_char", "s.labels").distinct()
+def label_table(records: DataFrame) -> DataFrame:
+    """``(claim_id, item_no, span_no, label_no, label)``: the labels, linked to span and anchor by containment."""
+    n = _with_record(link(node_table(records), "label", "anchor", "span"), records)
+    labels = F.element_at(F.element_at("source_anchors", F.col("anchor_no"))["spans"], F.col("span_no"))["labels"]
+    return n.select("claim_id", F.col("anchor_no").alias("item_no"), "span_no", F.col("place").alias("label_no"), F.element_at(labels, F.col("place")).alias("label")).distinct()
 
 
-def label_counts(claims: DataFrame) -> DataFrame:
-    """``(label, n_labels, n_spans)`` over the distinct spans of all claims; null labels do not count."""
-    labels = span_table(claims).select(F.struct("claim_id", "item_no", "span_no").alias("span"), F.explode("labels").alias("label")).where("label IS NOT NULL")
+def label_counts(records: DataFrame) -> DataFrame:
+    """``(label, n_labels, n_spans)`` over the distinct labels of all records; null labels do not count."""
+    labels = label_table(records).select(F.struct("claim_id", "item_no", "span_no").alias("span"), "label")
     return labels.groupBy("label").agg(F.count(F.lit(1)).alias("n_labels"), F.count_distinct("span").alias("n_spans"))

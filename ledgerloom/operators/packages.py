@@ -43,23 +43,24 @@ def first_seen(previous: DataFrame, rows: DataFrame, key: str, at: str) -> DataF
     return rows.join(old, key, "left").withColumn(at, F.coalesce("__old", at)).drop("__old")
 
 
-def heights(edges: DataFrame, most: int = 64) -> DataFrame:
+def heights(edges: DataFrame) -> DataFrame:
     """``(node, height)`` of ``(child, parent)`` edges: leaves 0, a parent one more than its highest child.
 
-    A step per level, each a join and an aggregation; nodes on or above a cycle, whose height would grow
-    without end, are left out after ``most`` levels.
+    Leaves are taken off layer by layer: a node is done as soon as all its children are, whatever the number
+    of layers. Nodes on or above a cycle are never done and have no height; a loop on itself does not count.
     """
-    e = edges.where("child IS NOT NULL AND parent IS NOT NULL AND child <> parent").select("child", "parent").distinct()
-    nodes = e.select(F.explode(F.array("child", "parent")).alias("node")).distinct()
-    rising = checkpoint(nodes.withColumn("height", F.lit(0)))
-    out = rising
-    for level in range(1, most + 1):
-        rising = checkpoint(e.join(rising.select(F.col("node").alias("child")), "child").select(F.col("parent").alias("node")).distinct().withColumn("height", F.lit(level)))
-        if rising.isEmpty():
-            return out.groupBy("node").agg(F.max("height").alias("height"))
-        out = out.unionByName(rising)
-    endless = rising.select("node")
-    return out.groupBy("node").agg(F.max("height").alias("height")).join(endless, "node", "left_anti")
+    e = checkpoint(edges.where("child IS NOT NULL AND parent IS NOT NULL AND child <> parent").select("child", "parent").distinct())
+    last = checkpoint(e.select(F.col("child").alias("node")).join(e.select(F.col("parent").alias("node")), "node", "left_anti").distinct())
+    out, level, left = last.withColumn("height", F.lit(0)), 0, e
+    while not last.isEmpty():
+        level += 1
+        touched = left.join(last.withColumnRenamed("node", "child"), "child").select(F.col("parent").alias("node")).distinct()
+        left = checkpoint(left.join(last.withColumnRenamed("node", "child"), "child", "left_anti"))
+        last = checkpoint(touched.join(left.select(F.col("parent").alias("node")), "node", "left_anti"))
+        out = out.unionByName(last.withColumn("height", F.lit(level)))
+        if level % 16 == 0:
+            out = checkpoint(out)
+    return out
 
 
 def packages(items: DataFrame, key: str, fields: list[str]) -> DataFrame:

@@ -93,7 +93,7 @@ SELECT query_id, doc_id, score, method, row_number() OVER (PARTITION BY query_id
     "unique_slugs": f"WITH s AS (SELECT id, regexp_replace(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM {_LATEST} WHERE title IS NOT NULL), n AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY id) AS n FROM s) SELECT id, CASE WHEN n = 1 THEN slug ELSE slug || '-' || (n - 1) END AS slug FROM n",
     "registry_snapshot_drift": f"WITH l AS (SELECT id, {_FOLD.format('content_hash')} AS old FROM snapshot_state WHERE id IS NOT NULL AND snapshot = (SELECT max(snapshot) FROM snapshot_state WHERE id IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY id ORDER BY delivered_at DESC NULLS LAST, old DESC NULLS LAST) = 1), r AS (SELECT id, {_FOLD.format('content_hash')} AS new FROM {_LATEST}) SELECT coalesce(l.id, r.id) AS id, CASE WHEN l.id IS NULL THEN 'new' WHEN r.id IS NULL THEN 'gone' WHEN old IS NULL OR new IS NULL THEN 'unknown' WHEN old = new THEN 'unchanged' ELSE 'drifted' END AS status FROM l FULL JOIN r ON l.id = r.id",
     "first_delivered": f"SELECT l.id, l.content_hash, f.t AS loaded_at FROM {_LATEST} l JOIN (SELECT id, min(loaded_at) AS t FROM registry GROUP BY id) f USING (id)",
-    "lineage_heights": "WITH RECURSIVE e AS (SELECT DISTINCT derived_from AS child, id AS parent FROM registry WHERE derived_from IS NOT NULL AND id IS NOT NULL AND derived_from <> id), up(node, h) AS (SELECT node, 0 FROM (SELECT child AS node FROM e UNION SELECT parent FROM e) UNION SELECT e.parent, h + 1 FROM up JOIN e ON e.child = up.node WHERE h < 64) SELECT node, max(h)::INTEGER AS height FROM up GROUP BY node HAVING max(h) < 64",
+    "lineage_heights": "WITH RECURSIVE e AS (SELECT DISTINCT derived_from AS child, id AS parent FROM registry WHERE derived_from IS NOT NULL AND id IS NOT NULL AND derived_from <> id), nodes AS (SELECT child AS node FROM e UNION SELECT parent FROM e), up(node, h) AS (SELECT node, 0 FROM nodes UNION SELECT e.parent, h + 1 FROM up JOIN e ON e.child = up.node WHERE h < (SELECT count(*) FROM nodes)) SELECT node, max(h)::INTEGER AS height FROM up GROUP BY node HAVING max(h) < (SELECT count(*) FROM nodes)",
     "scorecard": _SCORE + " SELECT * FROM card",
     "health_signals": _SCORE + " SELECT 'few-primary-sources' AS signal, 'warning' AS severity FROM card WHERE n_sources >= 5 AND primary_rate < 0.5 UNION ALL SELECT 'flagged-sources', 'error' FROM card WHERE n_flagged > 0 UNION ALL SELECT 'unsourced-claims', 'warning' FROM card WHERE sourced_rate < 1 UNION ALL SELECT 'no-claims', 'error' FROM card WHERE n_claims = 0",
     "concept_packages": f"WITH c AS (SELECT DISTINCT {_KEY.format('concept')} AS concept, sha256(coalesce(claim_id, chr(0)) || chr(31) || coalesce(claim_text, chr(0)) || chr(31) || coalesce(status, chr(0))) AS d FROM claims WHERE concept IS NOT NULL), g AS (SELECT concept, count(*) AS n_items, " + ", ".join(f"sum(('0x' || substr(d, {1 + 10 * i}, 10))::BIGINT) AS s{i}" for i in range(6)) + " FROM c GROUP BY concept) SELECT concept, n_items, sha256(concat_ws(':', n_items::VARCHAR, " + ", ".join(f"s{i}::VARCHAR" for i in range(6)) + ")) AS package_hash FROM g",

@@ -13,12 +13,29 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return nested.child_elements(nested.typed_shape(table(spark, d, "claims")).unionByName(nested.feed_shape(table(spark, d, "claim_feed"))))
 
 
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    return nested.typed_records(table(spark, d, "claims")).unionByName(nested.feed_records(table(spark, d, "claim_feed")))
+
+
+def p1_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """How many nodes of each kind there are, and the deepest interval numbers."""
+    return nested.node_table(_records(spark, d)).groupBy("kind").agg(F.count(F.lit(1)).alias("n_nodes"), F.max("pre").alias("greatest_pre"), F.max("post").alias("greatest_post"), F.max("place").alias("greatest_place"))
+
+
+def p1_sources(spark: SparkSession, d: str) -> DataFrame:
+    return nested.source_table(_records(spark, d))
+
+
 def p1_anchors(spark: SparkSession, d: str) -> DataFrame:
-    return nested.anchor_table(table(spark, d, "claims"))
+    return nested.anchor_table(_records(spark, d))
+
+
+def p1_spans(spark: SparkSession, d: str) -> DataFrame:
+    return nested.span_table(_records(spark, d))
 
 
 def p1_labels(spark: SparkSession, d: str) -> DataFrame:
-    return nested.label_counts(table(spark, d, "claims"))
+    return nested.label_counts(_records(spark, d))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -42,7 +59,7 @@ def p7_counts(spark: SparkSession, d: str) -> DataFrame:
     return references.orphan_counts(_children(spark, d), table(spark, d, "registry"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_anchors": p1_anchors, "p1_labels": p1_labels, "p2_found": p2_found, "p2_counts": p2_counts, "p7_found": p7_found, "p7_counts": p7_counts}
+QUERIES = {"p1_found": p1_found, "p1_nodes": p1_nodes, "p1_sources": p1_sources, "p1_anchors": p1_anchors, "p1_spans": p1_spans, "p1_labels": p1_labels, "p2_found": p2_found, "p2_counts": p2_counts, "p7_found": p7_found, "p7_counts": p7_counts}
 
 _LIST = "CASE WHEN {0} IS NULL OR json_type({0}) = 'NULL' THEN []::JSON[] WHEN json_type({0}) = 'ARRAY' THEN json_extract({0}, '$[*]') ELSE [{0}] END"
 
@@ -65,18 +82,38 @@ SELECT DISTINCT claim_id, child, item_no::INTEGER AS item_no, span_no::INTEGER A
     UNION ALL SELECT claim_id, 'span', item_no, span_no FROM spn UNION ALL SELECT claim_id, 'span', item_no, span_no FROM feed_spans) WHERE claim_id IS NOT NULL
 """
 
-_ANCHORS = """
-SELECT DISTINCT claim_id, i::INTEGER AS item_no, a[i].source_id AS source_id, a[i].anchor AS anchor, a[i].page AS page, a[i].section AS section, a[i].path AS path, a[i].line_start AS line_start, a[i].line_end AS line_end
-FROM (SELECT claim_id, source_anchors AS a, unnest(range(1, len(source_anchors) + 1)) AS i FROM claims WHERE claim_id IS NOT NULL) WHERE a[i] IS NOT NULL
-"""
+_FIELDS = ", ".join(f"{{0}}.{f} AS {f}" for f in nested.ANCHOR)
+_JSON_TYPES = {"string": "VARCHAR", "int": "INTEGER", "double": "DOUBLE"}
+_JSON_FIELDS = ", ".join(f"try_cast(json_extract_string({{0}}, '$.{f}') AS {_JSON_TYPES[t]}) AS {f}" for f, t in nested.ANCHOR.items())
 
-_LABELS = """
-WITH anc AS (SELECT DISTINCT claim_id, i, a[i] AS x FROM (SELECT claim_id, source_anchors AS a, unnest(range(1, len(source_anchors) + 1)) AS i FROM claims WHERE claim_id IS NOT NULL) WHERE a[i] IS NOT NULL),
-spn AS (SELECT DISTINCT claim_id, i, k, p[k] AS y FROM (SELECT claim_id, i, x.spans AS p, unnest(range(1, len(x.spans) + 1)) AS k FROM anc) WHERE p[k] IS NOT NULL),
-lab AS (SELECT claim_id, i, k, l[n] AS label FROM (SELECT claim_id, i, k, y.labels AS l, unnest(range(1, len(y.labels) + 1)) AS n FROM spn))
-SELECT label, count(*) AS n_labels, count(DISTINCT (claim_id, i, k)) AS n_spans FROM lab WHERE label IS NOT NULL GROUP BY label
+# The children of claims and of feed records with their values.
+_CHILDREN = f"""
+WITH feed AS (SELECT coalesce(nullif(json_extract(j, '$.record'), 'null'::JSON), j) AS r FROM (SELECT payload::JSON AS j FROM claim_feed WHERE payload IS NOT NULL AND json_valid(payload))),
+raw AS (SELECT json_extract_string(r, '$.claim_id') AS claim_id,
+    coalesce(json_extract(r, '$.evidence.source_ids'), json_extract(r, '$.source_ids')) AS s,
+    coalesce(json_extract(r, '$.evidence.source_anchors'), json_extract(r, '$.source_anchors')) AS a FROM feed),
+items AS (SELECT claim_id, {_LIST.format('s')} AS s, {_LIST.format('a')} AS a FROM raw WHERE claim_id IS NOT NULL),
+fa AS (SELECT claim_id, i AS item_no, a[i] AS x FROM (SELECT claim_id, a, unnest(range(1, len(a) + 1)) AS i FROM items) WHERE json_type(a[i]) <> 'NULL'),
+fp AS (SELECT claim_id, item_no, k AS span_no, p[k] AS y FROM (SELECT claim_id, item_no, p, unnest(range(1, len(p) + 1)) AS k FROM (SELECT claim_id, item_no, {_LIST.format("json_extract(x, '$.spans')")} AS p FROM fa)) WHERE json_type(p[k]) <> 'NULL'),
+fl AS (SELECT claim_id, item_no, span_no, n AS label_no, json_extract_string(l[n], '$') AS label FROM (SELECT claim_id, item_no, span_no, l, unnest(range(1, len(l) + 1)) AS n FROM (SELECT claim_id, item_no, span_no, {_LIST.format("json_extract(y, '$.labels')")} AS l FROM fp)) WHERE json_type(l[n]) <> 'NULL'),
+fs AS (SELECT claim_id, i AS item_no, json_extract_string(s[i], '$') AS source_id FROM (SELECT claim_id, s, unnest(range(1, len(s) + 1)) AS i FROM items) WHERE json_type(s[i]) <> 'NULL'),
+ta AS (SELECT claim_id, i AS item_no, a[i] AS x FROM (SELECT claim_id, source_anchors AS a, unnest(range(1, len(source_anchors) + 1)) AS i FROM claims WHERE claim_id IS NOT NULL) WHERE a[i] IS NOT NULL),
+tp AS (SELECT claim_id, item_no, k AS span_no, p[k] AS y FROM (SELECT claim_id, item_no, x.spans AS p, unnest(range(1, len(x.spans) + 1)) AS k FROM ta) WHERE p[k] IS NOT NULL),
+tl AS (SELECT claim_id, item_no, span_no, n AS label_no, l[n] AS label FROM (SELECT claim_id, item_no, span_no, y.labels AS l, unnest(range(1, len(y.labels) + 1)) AS n FROM tp) WHERE l[n] IS NOT NULL),
+ts AS (SELECT claim_id, i AS item_no, s[i] AS source_id FROM (SELECT claim_id, source_ids AS s, unnest(range(1, len(source_ids) + 1)) AS i FROM claims WHERE claim_id IS NOT NULL) WHERE s[i] IS NOT NULL)
 """
 
+_SOURCES = _CHILDREN + "SELECT DISTINCT claim_id, item_no::INTEGER AS item_no, source_id FROM (SELECT * FROM ts UNION ALL SELECT * FROM fs)"
+
+_ANCHORS = _CHILDREN + f"SELECT DISTINCT * FROM (SELECT claim_id, item_no::INTEGER AS item_no, {_FIELDS.format('x')} FROM ta UNION ALL SELECT claim_id, item_no::INTEGER, {_JSON_FIELDS.format('x')} FROM fa)"
+
+_SPANS = _CHILDREN + f"""SELECT DISTINCT claim_id, item_no::INTEGER AS item_no, span_no::INTEGER AS span_no, start_char, end_char, n_labels FROM (
+    SELECT claim_id, item_no, span_no, y.start_char AS start_char, y.end_char AS end_char, len(list_filter(coalesce(y.labels, []), lambda l: l IS NOT NULL))::INTEGER AS n_labels FROM tp
+    UNION ALL SELECT claim_id, item_no, span_no, try_cast(json_extract_string(y, '$.start_char') AS BIGINT), try_cast(json_extract_string(y, '$.end_char') AS BIGINT), len(list_filter({_LIST.format("json_extract(y, '$.labels')")}, lambda l: json_type(l) <> 'NULL'))::INTEGER FROM fp)"""
+
+_LABELS = _CHILDREN + """, lab AS (SELECT DISTINCT * FROM (SELECT * FROM tl UNION ALL SELECT * FROM fl))
+SELECT label, count(*) AS n_labels, count(DISTINCT (claim_id, item_no, span_no)) AS n_spans FROM lab GROUP BY label"""
+
 _FOLD = r"lower(trim({0}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160) || chr(8199) || chr(8239) || chr(8203) || chr(65279)))"
 
 _P2 = f"""
@@ -102,7 +139,9 @@ cases AS (SELECT refs.*, CASE WHEN reg.source_id IS NULL THEN 'missing' WHEN sta
 
 SQL = {
     "p1_found": _P1,
+    "p1_sources": _SOURCES,
     "p1_anchors": _ANCHORS,
+    "p1_spans": _SPANS,
     "p1_labels": _LABELS,
     "p2_found": _P2 + "SELECT * FROM changes WHERE change IS NOT NULL",
     "p2_counts": _P2 + "SELECT snapshot, change, count(*) AS n FROM changes WHERE change IS NOT NULL GROUP BY ALL",

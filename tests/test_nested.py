@@ -1,8 +1,9 @@
 import json
 
 from ledgerloom.operators import nested
+from pyspark.sql import functions as F
 
-SCHEMA = "claim_id string, source_ids array<string>, source_anchors array<struct<source_id:string,anchor:string,page:int,section:string,path:string,line_start:int,line_end:int,spans array<struct<start_char:bigint,end_char:bigint,labels:array<string>>>>>, item_no string".replace("spans array", "spans:array")
+SCHEMA = "claim_id string, source_ids array<string>, source_anchors array<struct<" + ",".join(f"`{f}`:{t}" for f, t in nested.ANCHOR.items()) + ",spans:array<struct<start_char:bigint,end_char:bigint,labels:array<string>>>>>, item_no string"
 
 
 def anchor(*spans, **k):
@@ -67,6 +68,18 @@ def test_very_long_record(spark):
 
 
 def test_flat_tables(spark):
-    df = claims(spark, [("c", [], [anchor(span(1, 2, ["x", None]), source_id="s"), None])] * 2)
-    assert [tuple(r)[:3] for r in nested.anchor_table(df).collect()] == [("c", 1, "s")]
-    assert [tuple(r) for r in nested.label_counts(df).collect()] == [("x", 1, 1)]
+    df = claims(spark, [("c", ["", None, "s"], [anchor(span(1, 2, ["x", None, "y"]), source_id="s"), None, anchor(None, span(3, 4), source_id="t")])] * 2)
+    feed = spark.createDataFrame([(json.dumps({"record": {"claim_id": "f", "evidence": {"source_ids": "one", "source_anchors": {"quote": "q", "page": 7, "line_start": "nine", "spans": {"start_char": 5, "labels": "x"}}}}}),), (None,), ("{",)], "payload string")
+    records = nested.typed_records(df).unionByName(nested.feed_records(feed))
+    sort = lambda t: sorted(map(tuple, t.collect()), key=repr)
+    assert sort(nested.source_table(records)) == [("c", 1, ""), ("c", 3, "s"), ("f", 1, "one")]
+    a = {(r.claim_id, r.item_no): r for r in nested.anchor_table(records).collect()}
+    assert {k: (r.source_id, r.page, r.quote, r.line_start) for k, r in a.items()} == {("c", 1): ("s", None, None, None), ("c", 3): ("t", None, None, None), ("f", 1): (None, 7, "q", None)}
+    assert sort(nested.span_table(records)) == [("c", 1, 1, 1, 2, 2), ("c", 3, 2, 3, 4, 0), ("f", 1, 1, 5, None, 1)]
+    assert sort(nested.label_table(records)) == [("c", 1, 1, 1, "x"), ("c", 1, 1, 3, "y"), ("f", 1, 1, 1, "x")]
+    assert sort(nested.label_counts(records)) == [("x", 2, 2), ("y", 1, 1)]
+    # An interval holds another exactly if its node is an ancestor: a claim holds all its nodes.
+    n = nested.node_table(records)
+    claim = n.where("kind = 'claim'").select("claim_id", "rec", F.col("pre").alias("p"), F.col("post").alias("q"))
+    assert n.where("kind <> 'claim'").join(claim, ["claim_id", "rec"]).where("pre > p AND post < q").count() == n.where("kind <> 'claim'").count() == 12
+    assert nested.anchor_table(records.limit(0)).count() == 0

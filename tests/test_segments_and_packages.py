@@ -68,7 +68,9 @@ def test_suffixes_drift_first_seen(spark):
 
 def test_heights(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("x", "x"), ("p", "q"), ("q", "p"), ("q", "r"), (None, "z")], "child string, parent string")
-    assert rows(packages.heights(e, 8)) == [("a", 0), ("b", 1), ("c", 2)]
+    assert rows(packages.heights(e)) == [("a", 0), ("b", 1), ("c", 2)]
+    chain = spark.createDataFrame([(f"{i:03d}", f"{i + 1:03d}") for i in range(70)], "child string, parent string")
+    assert rows(packages.heights(chain)) == [(f"{i:03d}", i) for i in range(71)]
 
 
 def test_packages_do_not_depend_on_order(spark):
