@@ -7,14 +7,6 @@ from pyspark.sql import functions as F
 
 #: Characters of a chunk and between the beginnings of chunks; characters a token stands for.
 CHUNK, STEP, TOKEN_CHARS = 10_000, 9_000, 4
-#: Phrases that try to steer a reader model.
-INJECTION = (
-    r"ignore (?:all )?(?:previous|prior) instructions",
-    r"disregard (?:the|all) (?:above|previous)",
-    r"you are now (?:an?|the) ",
-    r"system prompt",
-    r"do not (?:tell|reveal) ",
-)
 #: Line beginnings that try to steer a reader model, and how much of a match is told.
 STEERING = (
     r"ignore\s+(?:previous|all|prior)\s+instructions?",
@@ -102,10 +94,11 @@ def tokens_estimate(n_chars: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(n_chars / TOKEN_CHARS)).cast("bigint")
 
 
-def injections(documents: DataFrame) -> DataFrame:
-    """``(doc_id, n_patterns)`` of the texts that hold a steering phrase, whatever the case."""
-    hits = sum((F.when(F.lower("text").rlike(p), 1).otherwise(0) for p in INJECTION), F.lit(0))
-    return documents.where("text IS NOT NULL").select("doc_id", hits.alias("n_patterns")).where("n_patterns > 0")
+def steering_report(documents: DataFrame) -> DataFrame:
+    """``(pattern, n_matches, n_texts)``: for each pattern, by number, how many distinct texts have a line that begins with it."""
+    texts = documents.where("text IS NOT NULL").select("doc_id", "text").distinct()
+    hits = texts.agg(F.count(F.lit(1)).alias("n_texts"), *(F.count_if(F.col("text").rlike(rf"(?imdU)^\s*{p}")).alias(f"n{i}") for i, p in enumerate(STEERING, 1)))
+    return hits.select(F.explode(F.array(*(F.struct(F.lit(i).alias("pattern"), F.col(f"n{i}").alias("n_matches")) for i in range(1, len(STEERING) + 1)))).alias("x"), "n_texts").select("x.pattern", "x.n_matches", "n_texts")
 
 
 def steering_matches(documents: DataFrame) -> DataFrame:

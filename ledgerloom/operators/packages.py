@@ -12,7 +12,7 @@ from pyspark.sql.types import StringType
 from ledgerloom.functions.durable import checkpoint
 
 #: Line patterns of page boilerplate.
-BOILERPLATE = r"(?i)^(?:skip to (?:main )?content|sign (?:in|up)|log in|subscribe|share this|cookie (?:policy|settings)|all rights reserved|advertisement)\W*$"
+BOILERPLATE = r"(?i)^(?:subscribe|sign in|get the app|share|read more.*)$"
 
 
 def exact_first(exact: DataFrame, ranked: DataFrame, k: int) -> DataFrame:
@@ -89,9 +89,10 @@ def without_citations(text: Column) -> Column:
 
 
 def without_boilerplate(text: Column) -> Column:
-    """The text without boilerplate lines, three or more line ends in a row squeezed to two."""
-    kept = F.filter(F.split(text, "\n"), lambda line: ~F.btrim(line).rlike(BOILERPLATE))
-    return F.regexp_replace(F.array_join(kept, "\n"), "\n{3,}", "\n\n")
+    """The text without boilerplate lines and blanks around its lines; runs of empty lines are one, none at the ends."""
+    blanks = F.lit(" \t\r\n\f\x0b")
+    kept = F.filter(F.transform(F.split(text, r"\r\n|\r|\n"), lambda line: F.btrim(line, blanks)), lambda line: ~line.rlike(BOILERPLATE))
+    return F.btrim(F.regexp_replace(F.array_join(kept, "\n"), "\n{3,}", "\n\n"), blanks)
 
 
 @F.pandas_udf(StringType())

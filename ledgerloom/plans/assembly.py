@@ -97,6 +97,6 @@ SELECT query_id, doc_id, score, method, row_number() OVER (PARTITION BY query_id
     "scorecard": _SCORE + " SELECT * FROM card",
     "health_signals": _SCORE + " SELECT 'few-primary-sources' AS signal, 'warning' AS severity FROM card WHERE n_sources >= 5 AND primary_rate < 0.5 UNION ALL SELECT 'flagged-sources', 'error' FROM card WHERE n_flagged > 0 UNION ALL SELECT 'unsourced-claims', 'warning' FROM card WHERE sourced_rate < 1 UNION ALL SELECT 'no-claims', 'error' FROM card WHERE n_claims = 0",
     "concept_packages": f"WITH c AS (SELECT DISTINCT {_KEY.format('concept')} AS concept, sha256(coalesce(claim_id, chr(0)) || chr(31) || coalesce(claim_text, chr(0)) || chr(31) || coalesce(status, chr(0))) AS d FROM claims WHERE concept IS NOT NULL), g AS (SELECT concept, count(*) AS n_items, " + ", ".join(f"sum(('0x' || substr(d, {1 + 10 * i}, 10))::BIGINT) AS s{i}" for i in range(6)) + " FROM c GROUP BY concept) SELECT concept, n_items, sha256(concat_ws(':', n_items::VARCHAR, " + ", ".join(f"s{i}::VARCHAR" for i in range(6)) + ")) AS package_hash FROM g",
-    "boilerplate": r"SELECT kind, sum(n)::BIGINT AS n_chars, sum(n - k)::BIGINT AS n_dropped FROM (SELECT coalesce(kind, 'unknown') AS kind, length(text) AS n, length(regexp_replace(array_to_string(list_filter(string_split(text, chr(10)), lambda l: NOT regexp_matches(trim(l), '" + packages.BOILERPLATE + r"')), chr(10)), '\n{3,}', chr(10) || chr(10), 'g')) AS k FROM documents WHERE text IS NOT NULL) GROUP BY kind",
+    "boilerplate": r"SELECT kind, sum(n)::BIGINT AS n_chars, sum(n - k)::BIGINT AS n_dropped FROM (SELECT coalesce(kind, 'unknown') AS kind, length(text) AS n, length(trim(regexp_replace(array_to_string(list_filter(list_transform(string_split_regex(text, '\r\n|\r|\n'), lambda l: trim(l, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), lambda l: NOT regexp_matches(l, '" + packages.BOILERPLATE + r"')), chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS k FROM documents WHERE text IS NOT NULL) GROUP BY kind",
     "citation_share": f"WITH c AS (SELECT DISTINCT concept, claim_id, {_SRC.format('u')} AS source_id FROM (SELECT {_KEY.format('concept')} AS concept, claim_id, unnest(source_ids) AS u FROM claims WHERE concept IS NOT NULL) WHERE {_SRC.format('u')} IS NOT NULL), n AS (SELECT concept, source_id, count(*) AS n FROM c GROUP BY ALL) SELECT concept, source_id, n, row_number() OVER (PARTITION BY concept ORDER BY n DESC, source_id) AS rank, round(n / sum(n) OVER (PARTITION BY concept), 4) AS share FROM n QUALIFY rank <= 5",
 }

@@ -30,12 +30,9 @@ def bm25_topk(s, d):
 
 
 def bm25_governed(s, d):
-    clean = retrieval.unflagged(table(s, d, "documents").select("doc_id", "text", "source_id"), table(s, d, "registry"), FLAGGED)
-    return retrieval.ranked(retrieval.bm25(clean, _titles(s, d)), TOP)
-
-
-def rrf_fusion(s, d):
-    return retrieval.fused(_scores(s, d), retrieval.term_counts(table(s, d, "documents"), _titles(s, d)), TOP)
+    """Scores come from the whole corpus; documents of flagged sources are left out before the best are taken."""
+    clean = retrieval.unflagged(table(s, d, "documents").select("doc_id", "source_id"), table(s, d, "registry"), FLAGGED)
+    return retrieval.ranked(_scores(s, d).join(clean.select("doc_id"), "doc_id", "left_semi"), TOP)
 
 
 def retrieval_metrics(s, d):
@@ -93,7 +90,8 @@ def _texts(s, d):
 
 
 def injection_scan(s, d):
-    return notes.injections(_texts(s, d)).distinct()
+    """How many texts each of the eight steering patterns is found in, patterns that are not found included."""
+    return notes.steering_report(_texts(s, d))
 
 
 def injection_matches(s, d):
@@ -118,14 +116,6 @@ def term_profile(s, d):
     return df.crossJoin(F.broadcast(n)).select("term", "df", F.round(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1), 6).alias("idf"))
 
 
-def quote_verification(s, d):
-    """Whether the quotes in anchors occur in the quote their claim carries: exact, normalised or not."""
-    c = table(s, d, "claims").where("claim_id IS NOT NULL").select("claim_id", "quote", F.posexplode("source_anchors").alias("i", "a")).where("a.quote IS NOT NULL")
-    norm = lambda x: F.btrim(F.regexp_replace(F.translate(x, "“”„‘’–—", "\"\"\"''--"), r"\s+", " "))
-    verdict = F.when(F.col("quote").isNull(), "unverifiable").when(F.contains("quote", F.col("a.quote")), "exact").when((F.length(norm(F.col("a.quote"))) >= 8) & F.contains(norm(F.col("quote")), norm(F.col("a.quote"))), "normalised").otherwise("failed")
-    return c.select("claim_id", (F.col("i") + 1).alias("item_no"), verdict.alias("verdict")).distinct()
-
-
 def split_disjointness(s, d):
     """Question texts that several evaluation splits hold (empty where splits are disjoint): one row per text with its splits and ids."""
     q = table(s, d, "questions").where("question IS NOT NULL AND split IS NOT NULL").select("split", "id", folded(F.col("question")).alias("t"))
@@ -231,7 +221,7 @@ def registry_drift(s, d):
 def retention(s, d):
     """A source's freshness on a fixed day: half-life by strength, tiers from the score."""
     r = latest_registry(s, d).select("id", day_of(F.col("ingested_at")).alias("day"), "evidence_strength").where("day IS NOT NULL")
-    life = F.when(F.col("evidence_strength").isin("primary-doc", "official-spec"), 365).when(F.col("evidence_strength") == "secondary", 180).otherwise(45)
+    life = F.when(F.col("evidence_strength").isin("primary-doc", "strong"), 365).when(F.col("evidence_strength") == "secondary", 180).otherwise(45)
     score = r.select("id", quality.half_life_score(F.datediff(F.lit(AS_OF).cast("date"), F.col("day")), life).alias("score"))
     return score.select("id", "score", F.when(F.col("score") >= 0.7, "fresh").when(F.col("score") >= 0.4, "healthy").when(F.col("score") >= 0.2, "aging").otherwise("stale").alias("tier"))
 
@@ -262,6 +252,6 @@ def embedding_confusion(s, d):
     return similarity.label_votes(embedding_neighbours(s, d), v).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (bm25_topk, bm25_governed, rrf_fusion, retrieval_metrics, exact_lookup, claim_identity, concept_slugs, note_frontmatter, note_outline, note_bullets, open_questions, speaker_turns, chunk_plan, token_budget, injection_scan, injection_matches, url_canonical, anchor_language, term_profile, quote_verification, split_disjointness, fact_presence, probe_coverage, grader_confusion, grader_kappa, anchor_rate, contested_rate, registry_upsert, first_written, delivery_stats, registry_cube, index_rollup, tag_index, top_concepts, registry_issues, issue_counts, registry_drift, retention, snapshot_signals, snapshot_overlay, concept_cosine, embedding_neighbours, embedding_confusion)}
+QUERIES = {f.__name__: f for f in (bm25_topk, bm25_governed, retrieval_metrics, exact_lookup, claim_identity, concept_slugs, note_frontmatter, note_outline, note_bullets, open_questions, speaker_turns, chunk_plan, token_budget, injection_scan, injection_matches, url_canonical, anchor_language, term_profile, split_disjointness, fact_presence, probe_coverage, grader_confusion, grader_kappa, anchor_rate, contested_rate, registry_upsert, first_written, delivery_stats, registry_cube, index_rollup, tag_index, top_concepts, registry_issues, issue_counts, registry_drift, retention, snapshot_signals, snapshot_overlay, concept_cosine, embedding_neighbours, embedding_confusion)}
 
 from ledgerloom.plans.knowledge_sql import SQL  # noqa: E402, F401

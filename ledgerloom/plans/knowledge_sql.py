@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ledgerloom.operators.notes import CHUNK, INJECTION, STEP
+from ledgerloom.operators.notes import CHUNK, STEERING, STEP
 from ledgerloom.operators.quality import Z
-from ledgerloom.operators.retrieval import B, FUSION, K1
+from ledgerloom.operators.retrieval import B, K1
 
 TOP = 8
 FLAGGED = "('permission-revoked', 'deleted-from-origin', 'do-not-use', 'revoked')"
@@ -17,9 +17,10 @@ _DAY = r"CASE WHEN regexp_matches(trim({0}), '^\d{{4}}-\d{{2}}-\d{{2}}($|[T ])')
 _SRC = "nullif('src-' || regexp_extract(lower({0}), '(?:^|[^0-9a-z])([0-9a-f]{{10}})(?:$|[^0-9a-z])', 1), 'src-')"
 
 
-def _bm25(docs: str) -> str:
+def bm25_sql(docs: str, queries: str) -> str:
+    """The CTEs of a BM25 ranking (``scores``, ``ranked``) of ``docs`` for ``queries`` (query_id, text)."""
     return f"""
-WITH docs AS ({docs}), asked AS (SELECT stem AS query_id, term, count(*) AS times FROM (SELECT stem, unnest({_TERMS.format('title')}) AS term FROM concepts) GROUP BY ALL),
+WITH docs AS ({docs}), asked AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest({_TERMS.format('text')}) AS term FROM ({queries})) GROUP BY ALL),
 words AS (SELECT doc_id, coalesce({_TERMS.format('text')}, []) AS w FROM docs),
 corpus AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM words),
 tf AS (SELECT doc_id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT doc_id, len(w) AS dl, unnest(w) AS term FROM words) WHERE term IN (SELECT term FROM asked) GROUP BY doc_id, term),
@@ -29,6 +30,10 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DES
 """
 
 
+def _bm25(docs: str) -> str:
+    return bm25_sql(docs, "SELECT stem AS query_id, title AS text FROM concepts")
+
+
 _ALL = "SELECT doc_id, text, concept FROM documents"
 _CLEAN = f"SELECT doc_id, text FROM documents WHERE source_id IS NULL OR source_id NOT IN (SELECT id FROM registry WHERE id IS NOT NULL AND lower(source_status) IN {FLAGGED})"
 _LINES = "SELECT doc_id, i AS line_no, regexp_replace(l[i], '\\r$', '') AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents WHERE text IS NOT NULL)"
@@ -74,12 +79,7 @@ _NORM = r"trim(regexp_replace(translate({0}, '“”„‘’–—', '\"\"\"'''
 
 SQL = {
     "bm25_topk": _bm25(_ALL) + f"SELECT * FROM ranked WHERE rank <= {TOP}",
-    "bm25_governed": _bm25(_CLEAN) + f"SELECT * FROM ranked WHERE rank <= {TOP}",
-    "rrf_fusion": _bm25(_ALL)
-    + f""", counts AS (SELECT query_id, doc_id, sum(tf)::DOUBLE AS score FROM (SELECT DISTINCT query_id, term FROM asked) JOIN tf USING (term) GROUP BY ALL),
-ranked2 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM counts),
-fused AS (SELECT query_id, doc_id, round(sum(1 / ({FUSION}::DOUBLE + rank)), 6) AS score FROM (SELECT query_id, doc_id, rank FROM ranked UNION ALL SELECT query_id, doc_id, rank FROM ranked2) GROUP BY ALL)
-SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM fused QUALIFY rank <= {TOP}""",
+    "bm25_governed": _bm25(_ALL) + f", clean AS ({_CLEAN}) SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE doc_id IN (SELECT doc_id FROM clean) QUALIFY rank <= {TOP}",
     "retrieval_metrics": _bm25(_ALL)
     + f""", hits AS (SELECT query_id, doc_id FROM ranked WHERE rank <= {TOP}), rel AS (SELECT DISTINCT stem AS query_id, doc_id FROM docs JOIN concepts ON {_KEY.format('docs.concept')} = {_KEY.format('stem')}),
 per AS (SELECT coalesce(hits.query_id, rel.query_id) AS q, count(hits.doc_id) AS hits, count(rel.doc_id) AS rel, count(*) FILTER (WHERE hits.doc_id IS NOT NULL AND rel.doc_id IS NOT NULL) AS good FROM hits FULL JOIN rel ON hits.query_id = rel.query_id AND hits.doc_id = rel.doc_id GROUP BY 1)
@@ -98,14 +98,12 @@ SELECT h.doc_id, h.line_no::INTEGER AS line_no, h.level::INTEGER AS level, h.tit
     "speaker_turns": f"SELECT doc_id, speaker, count(*) AS n_turns, sum(n)::BIGINT AS n_chars FROM (SELECT doc_id, regexp_extract(line, '^\\[\\d{{2}}:\\d{{2}}\\] ([A-Z]+): ', 1) AS speaker, length(line) AS n FROM ({_LINES})) WHERE speaker <> '' GROUP BY ALL",
     "chunk_plan": f"SELECT doc_id, (s // {STEP} + 1)::INTEGER AS chunk_no, s::INTEGER AS start, least({CHUNK}, n - s)::INTEGER AS n_chars FROM (SELECT doc_id, length(text) AS n, unnest(CASE WHEN length(text) > {CHUNK} THEN range(0, length(text) - {CHUNK - STEP}, {STEP}) ELSE [0] END) AS s FROM documents WHERE length(text) > 0)",
     "token_budget": "SELECT coalesce(kind, 'unknown') AS kind, count(*) AS n_documents, sum(greatest(1, length(coalesce(text, '')) // 4))::BIGINT AS tokens, max(greatest(1, length(coalesce(text, '')) // 4)) AS largest FROM documents GROUP BY 1",
-    "injection_scan": "SELECT DISTINCT doc_id, n_patterns FROM (SELECT doc_id, (" + " + ".join(f"regexp_matches(lower(text), '{p}')::INTEGER" for p in INJECTION) + ") AS n_patterns FROM (SELECT doc_id::VARCHAR AS doc_id, text FROM documents UNION ALL SELECT claim_id, quote FROM claims) WHERE text IS NOT NULL) WHERE n_patterns > 0",
+    "injection_scan": "WITH t AS (SELECT DISTINCT doc_id::VARCHAR AS doc_id, text FROM documents WHERE text IS NOT NULL UNION SELECT DISTINCT claim_id, quote FROM claims WHERE quote IS NOT NULL) " + " UNION ALL ".join(f"SELECT {i}::INTEGER AS pattern, count(*) FILTER (WHERE regexp_matches(text, '(?im)^\\s*{p}')) AS n_matches, count(*) AS n_texts FROM t" for i, p in enumerate(STEERING, 1)),
     "url_canonical": rf"""WITH b AS (SELECT DISTINCT source, regexp_replace(trim(source, ' ' || chr(9) || chr(10) || chr(13)), '#.*$', '') AS bare FROM registry WHERE source IS NOT NULL)
 SELECT source, CASE WHEN strpos(bare, '?') = 0 THEN bare ELSE substr(bare, 1, strpos(bare, '?') - 1) || CASE WHEN len({_URL_KEPT}) > 0 THEN '?' || array_to_string({_URL_KEPT}, '&') ELSE '' END END AS url, lower(regexp_extract(source, '(?i)https?://([^/?#\s]+)', 1)) AS host FROM b""",
     "anchor_language": r"""SELECT DISTINCT anchor, CASE WHEN regexp_matches(anchor, '^page=\d+$') THEN 'page' WHEN regexp_matches(anchor, '^L\d+(=L\d+)?$') THEN 'lines' WHEN regexp_matches(anchor, '^seg-\d+$') THEN 'segment' WHEN starts_with(anchor, 'section=') THEN 'section' ELSE 'other' END AS kind,
 try_cast(nullif(regexp_extract(anchor, '^(?:page=|L|seg-)(\d+)(?:=L\d+)?$', 1), '') AS INTEGER) AS first, try_cast(nullif(regexp_extract(anchor, '^L\d+=L(\d+)$', 1), '') AS INTEGER) AS last FROM (SELECT unnest(source_anchors).anchor AS anchor FROM claims) WHERE anchor IS NOT NULL""",
     "term_profile": f"WITH c AS (SELECT DISTINCT claim_id, claim_text FROM claims WHERE claim_text IS NOT NULL), t AS (SELECT term, count(*) AS df FROM (SELECT claim_id, unnest(list_distinct({_TERMS.format('claim_text')})) AS term FROM c) GROUP BY term HAVING count(*) > 1) SELECT term, df, round(ln((n - df + 0.5) / (df + 0.5) + 1), 6) AS idf FROM t, (SELECT count(*) AS n FROM c)",
-    "quote_verification": f"""WITH a AS (SELECT claim_id, quote, i AS item_no, l[i].quote AS q FROM (SELECT claim_id, quote, source_anchors AS l, unnest(range(1, len(source_anchors) + 1)) AS i FROM claims WHERE claim_id IS NOT NULL) WHERE l[i].quote IS NOT NULL)
-SELECT DISTINCT claim_id, item_no::INTEGER AS item_no, CASE WHEN quote IS NULL THEN 'unverifiable' WHEN contains(quote, q) THEN 'exact' WHEN length({_NORM.format('q')}) >= 8 AND contains({_NORM.format('quote')}, {_NORM.format('q')}) THEN 'normalised' ELSE 'failed' END AS verdict FROM a""",
     "split_disjointness": f"SELECT sha256({_FOLD.format('question')}) AS text_hash, count(DISTINCT split) AS n_splits, count(DISTINCT id) AS n_ids, min(split) AS first_split, max(split) AS last_split FROM questions WHERE question IS NOT NULL AND split IS NOT NULL GROUP BY 1 HAVING count(DISTINCT split) > 1",
     "fact_presence": f"""WITH q AS (SELECT DISTINCT id, {_SRC.format('r')} AS source_id, fact FROM (SELECT id, r, unnest(expected_answer_facts) AS fact FROM (SELECT id, unnest(required_source_ids) AS r, expected_answer_facts FROM questions WHERE id IS NOT NULL)) WHERE fact IS NOT NULL AND {_SRC.format('r')} IS NOT NULL),
 w AS (SELECT id, source_id, fact, unnest(list_distinct(list_filter({_TERMS.format('fact')}, lambda x: length(x) > 3))) AS term FROM q),
@@ -128,7 +126,7 @@ SELECT id, count(*) AS n_facts, count(*) FILTER (WHERE hits = terms) AS n_presen
     "registry_issues": _ISSUES + "SELECT * FROM issues",
     "issue_counts": _ISSUES + "SELECT table_name, issue, count(*) AS n FROM issues GROUP BY ALL",
     "registry_drift": f"WITH a AS (SELECT id, content_hash, source_status FROM {_FIRST}), b AS (SELECT id, content_hash, source_status FROM {_LATEST}) SELECT 'stored' AS side, * FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT 'fresh', * FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)",
-    "retention": f"""WITH r AS (SELECT id, {_DAY.format('ingested_at')} AS day, evidence_strength FROM {_LATEST}), s AS (SELECT id, round(pow(0.5, greatest(0, date_diff('day', day, DATE '2026-06-30')) / (CASE WHEN evidence_strength IN ('primary-doc', 'official-spec') THEN 365 WHEN evidence_strength = 'secondary' THEN 180 ELSE 45 END)), 6) AS score FROM r WHERE day IS NOT NULL)
+    "retention": f"""WITH r AS (SELECT id, {_DAY.format('ingested_at')} AS day, evidence_strength FROM {_LATEST}), s AS (SELECT id, round(pow(0.5, greatest(0, date_diff('day', day, DATE '2026-06-30')) / (CASE WHEN evidence_strength IN ('primary-doc', 'strong') THEN 365 WHEN evidence_strength = 'secondary' THEN 180 ELSE 45 END)), 6) AS score FROM r WHERE day IS NOT NULL)
 SELECT id, score, CASE WHEN score >= 0.7 THEN 'fresh' WHEN score >= 0.4 THEN 'healthy' WHEN score >= 0.2 THEN 'aging' ELSE 'stale' END AS tier FROM s""",
     "snapshot_signals": f"SELECT snapshot, n_sources, n_flagged, n_unhashed, " + ", ".join(f"{c} - lag({c}) OVER (ORDER BY snapshot) AS {c}_delta" for c in ("n_sources", "n_flagged", "n_unhashed")) + f" FROM ({_SNAP})",
     "snapshot_overlay": "SELECT id, snapshot, content_hash, tier FROM snapshot_state WHERE id IS NOT NULL AND snapshot IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY snapshot DESC, delivered_at DESC NULLS LAST, content_hash DESC NULLS LAST, tier DESC NULLS LAST) = 1",
