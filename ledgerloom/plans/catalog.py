@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.plans import answers, assembly, general, knowledge, links, segmentation, streams
+from ledgerloom.plans import answers, assembly, general, knowledge, links, pages, segmentation, streams
 
-MODULES = (general, knowledge, links, segmentation, assembly, answers, streams)
+MODULES = (general, knowledge, links, segmentation, assembly, answers, pages, streams)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
