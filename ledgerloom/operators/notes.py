@@ -46,6 +46,16 @@ def frontmatter(documents: DataFrame, fields: tuple[str, ...]) -> DataFrame:
     return documents.select("doc_id", head.alias("head")).where("head <> ''").select("doc_id", *(F.nullif(value(f), F.lit("")).alias(f) for f in fields))
 
 
+def front_list(documents: DataFrame, field: str) -> DataFrame:
+    """``(doc_id, place, value)``: the items of a list field in the ``---`` block of a note, written one per line or between brackets; quotes are taken off."""
+    head = F.regexp_extract(F.col("text"), r"(?s)\A---\r?\n(.*?)\r?\n---(?:\r?\n|\z)", 1)
+    block = F.split(F.regexp_extract(F.col("head"), rf"(?m)^{field}:[ \t]*\r?\n((?:[ \t]*-[ \t]+.*(?:\r?\n|$))+)", 1), r"\r?\n")
+    inline = F.split(F.regexp_extract(F.col("head"), rf"(?m)^{field}:[ \t]*\[(.*)\][ \t]*\r?$", 1), ",")
+    plain = lambda x: F.regexp_replace(F.btrim(F.regexp_replace(x, r"^[ \t]*-[ \t]+", ""), F.lit(" \t\r")), r"^['\"]|['\"]$", "")
+    items = F.filter(F.transform(F.concat(block, inline), plain), lambda x: x != "")
+    return documents.select("doc_id", head.alias("head")).where("head <> ''").select("doc_id", F.posexplode(items).alias("i", "value")).select("doc_id", (F.col("i") + 1).alias("place"), "value")
+
+
 def lines(documents: DataFrame) -> DataFrame:
     """``(doc_id, line_no, line)`` of every text, 1-based; a line's closing carriage return is taken off."""
     split = documents.where("text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "l"))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.durable import checkpoint
 from ledgerloom.operators.pages import name_key
 from ledgerloom.operators.similarity import cosine_pairs, tfidf
 
@@ -56,15 +57,26 @@ def friction(similar: DataFrame, overlap: DataFrame, linked: DataFrame, contrast
     return met.select("a", "b", F.round(total, 6).alias("friction")).where(F.col("friction") >= least)
 
 
-def hub_pairs(scores: DataFrame, linked: DataFrame, share: float = 0.33) -> DataFrame:
-    """``(a, b, score)``: unlinked pairs among the ``share`` of nodes ``(node, score)`` that score highest, with the product of their scores.
+def hub_pairs(scores: DataFrame, linked: DataFrame, share: float = 0.33, limit: int = 50) -> DataFrame:
+    """``(a, b, score)``: the ``limit`` unlinked pairs with the greatest product of scores among the ``share`` of nodes ``(node, score)`` that score highest; ties by name.
 
-    The nodes as good as the last of that share count too. The top share of a graph is meant to be small: its pairs are the result.
+    Only the first r nodes are paired, in one row; r doubles until no pair with a later node can beat the last
+    pair found, so that the pairs of all nodes are never made.
     """
-    ranked = scores.withColumn("r", F.rank().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("score"))))
-    top = ranked.crossJoin(F.broadcast(scores.agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) * share)).alias("k")))).where("r <= k").select("node", "score")
-    x, y = top.select(F.col("node").alias("a"), F.col("score").alias("sa"), F.lit(1).alias("j")), top.select(F.col("node").alias("b"), F.col("score").alias("sb"), F.lit(1).alias("j"))
-    return x.join(y, "j").where("a < b").join(linked.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", F.round(F.col("sa") * F.col("sb"), 6).alias("score"))
+    total = scores.count()
+    k, r = max(1, int(total * share)), 2
+    while r < limit:
+        r *= 2
+    while True:
+        top = scores.orderBy(F.desc("score"), "node").limit(min(r, k) + 1).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "node"))).alias("t"))
+        held = F.slice("t", 1, min(r, k))
+        both = F.flatten(F.transform(held, lambda x: F.transform(F.filter(held, lambda y: y["node"] > x["node"]), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b"), F.round(x["s"] * y["s"], 6).alias("score")))))
+        found = checkpoint(top.select(F.explode(both).alias("p")).select("p.*").join(linked.select("a", "b"), ["a", "b"], "left_anti").orderBy(F.desc("score"), "a", "b").limit(limit))
+        ends = top.select(F.get("t", F.lit(0))["s"].alias("first"), F.get("t", F.lit(r))["s"].alias("next")).first()
+        full = found.agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least")).first()
+        if r >= k or (full.n == limit and full.least > round(ends.first * (ends.next or 0.0), 6)):
+            return found
+        r *= 2
 
 
 def merged_signals(signals: dict[str, DataFrame], limit: int) -> DataFrame:
@@ -80,10 +92,3 @@ def contrast_pairs(records: DataFrame) -> DataFrame:
     """``(a, b)``: names a record ``(name, text, others)`` is linked with where its text uses a phrase of contrast."""
     said = records.where(F.col("text").rlike(CONTRAST)).select("name", F.explode("others").alias("other")).where("name <> other")
     return said.select(F.least("name", "other").alias("a"), F.greatest("name", "other").alias("b")).distinct()
-
-
-def pieces(text: Column) -> Column:
-    """The clauses a compound text may be split into: parts between semicolons and connectives after a comma, where every part has three words or more."""
-    parts = F.filter(F.transform(F.split(text, r"(?i);\s+|, (?:and|but|so|yet|whereas|while|because|although) "), lambda p: F.btrim(F.regexp_replace(p, r"[.\s]+$", ""))), lambda p: p != "")
-    whole = F.forall(parts, lambda p: F.size(F.split(p, r"\s+")) >= 3)
-    return F.when((F.size(parts) > 1) & whole, parts)

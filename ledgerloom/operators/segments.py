@@ -84,11 +84,6 @@ def years(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?<![\d.-])((?:19|20)\d{2})(?![\d.])"), F.lit(1))))
 
 
-def compound(text: Column) -> Column:
-    """Whether a claim joins statements: a semicolon, or a connective after a comma."""
-    return text.contains(";") | F.lower(text).rlike(r", (?:and|but|so|yet|whereas|while|because|although) ")
-
-
 def symbols(documents: DataFrame) -> DataFrame:
     """``(doc_id, kind, symbol)`` in the fenced code of notes; a line is code if an odd number of fences stands above it."""
     run = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.plans import answers, assembly, general, knowledge, links, pages, segmentation, streams
+from ledgerloom.plans import answers, assembly, general, intake, knowledge, links, pages, segmentation, streams, upkeep
 
-MODULES = (general, knowledge, links, segmentation, assembly, answers, pages, streams)
+MODULES = (general, knowledge, links, segmentation, assembly, answers, pages, upkeep, intake, streams)
 
 Query = Callable[[SparkSession, str], DataFrame]
 

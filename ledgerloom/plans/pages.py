@@ -12,7 +12,7 @@ from ledgerloom.plans.knowledge_sql import _DAY, _FOLD, _KEY, _LATEST, _SRC, FLA
 from ledgerloom.plans.links import _BASE
 from ledgerloom.sources.tables import table
 
-SPLIT_LEAST, NOTE_BYTES, PAGE_LINES, LINKS = 3, 61_440, 400, 50
+NOTE_BYTES, PAGE_LINES, LINKS = 61_440, 400, 50
 
 
 def page_claims(s, d):
@@ -145,12 +145,6 @@ def archive_proposals(s, d):
     return proposals.archive_proposals(table(s, d, "claims").select(F.col("claim_id").alias("id"), F.col("claim_quality").alias("quality"), "status"))
 
 
-def split_proposals(s, d):
-    """Compound claims and the clauses they may be split into."""
-    c = table(s, d, "claims").where("claim_id IS NOT NULL AND claim_text IS NOT NULL").select("claim_id", proposals.pieces(F.col("claim_text")).alias("p")).where("p IS NOT NULL")
-    return c.select("claim_id", F.posexplode("p").alias("i", "piece")).select("claim_id", (F.col("i") + 1).alias("place"), "piece").distinct()
-
-
 def _concept_texts(s, d):
     c = table(s, d, "concepts").where("stem IS NOT NULL").groupBy(spelling_key(F.col("stem")).alias("id")).agg(F.max("body").alias("text"))
     return c
@@ -188,7 +182,7 @@ def retention_lowest(s, d):
     return c.select("claim_id", score.alias("score")).orderBy("score", "claim_id").limit(30)
 
 
-QUERIES = {f.__name__: f for f in (page_claims, source_links, anchor_fields, document_titles, registry_forms, concept_tags, feed_objects, knowledge_nodes, knowledge_edges, lint_findings, lint_counts, duplicate_proposals, rename_proposals, archive_proposals, split_proposals, friction_pairs, hub_pairs, link_report, retention_lowest)}
+QUERIES = {f.__name__: f for f in (page_claims, source_links, anchor_fields, document_titles, registry_forms, concept_tags, feed_objects, knowledge_nodes, knowledge_edges, lint_findings, lint_counts, duplicate_proposals, rename_proposals, archive_proposals, friction_pairs, hub_pairs, link_report, retention_lowest)}
 
 _LINK = pages.SOURCE_LINK
 _PLAIN = rf"regexp_replace(trim(regexp_replace(regexp_replace({{0}}, '\s*\(?(?:{_LINK.replace('{', '{{').replace('}', '}}')})\)?', '', 'g'), '\s+', ' ', 'g')), '\s+([,.;:!?])', '\1', 'g')"
@@ -251,7 +245,6 @@ SELECT doc_id, title, sha256(substr(p, 1, 280)) AS summary_hash FROM t WHERE tit
     "duplicate_proposals": f"WITH {_ONE}, texts AS (SELECT id, r.t AS text FROM one), {_VECTORS}, m AS (SELECT a, b, cosine, x.r.s IS DISTINCT FROM y.r.s AS ds, x.y IS DISTINCT FROM y.y AS dt, x.r.e IS DISTINCT FROM y.r.e AS de, list_max(x.y) AS ya, list_max(y.y) AS yb FROM cosine JOIN (SELECT id, r, {_YEARS} AS y FROM one) x ON x.id = a JOIN (SELECT id, r, {_YEARS} AS y FROM one) y ON y.id = b WHERE cosine >= 0.9), k AS (SELECT *, array_to_string(list_filter([CASE WHEN ds THEN 'scope' END, CASE WHEN dt THEN 'time' END, CASE WHEN de THEN 'evidence' END], lambda x: x IS NOT NULL), ',') AS dims FROM m), o AS (SELECT *, dims = 'time' AND coalesce(ya <> yb, false) AS ord FROM k) SELECT CASE WHEN ord AND yb > ya THEN b ELSE a END AS a, CASE WHEN ord AND yb > ya THEN a ELSE b END AS b, CASE WHEN dims = '' THEN 'merge' WHEN ord THEN 'supersede' ELSE 'needs-review' END AS kind, dims, cosine AS similarity FROM o",
     "rename_proposals": "WITH n AS (SELECT name, CASE WHEN k LIKE '%s' AND length(k) > 3 THEN left(k, length(k) - 1) ELSE k END AS k FROM (SELECT DISTINCT concept AS name, regexp_replace(lower(concept), '[^a-z0-9]+', '', 'g') AS k FROM claims WHERE concept <> '')) SELECT name AS alias, target FROM (SELECT name, min(name) OVER (PARTITION BY k) AS target FROM n WHERE k <> '') WHERE name <> target",
     "archive_proposals": "SELECT DISTINCT * FROM (SELECT claim_id AS id, array_to_string(list_filter([CASE WHEN lower(claim_quality) IN ('stale', 'outdated', 'deprecated') THEN 'claim_quality=' || lower(claim_quality) END, CASE WHEN lower(status) IN ('stale', 'archived', 'superseded', 'retired') THEN 'status=' || lower(status) END], lambda x: x IS NOT NULL), '; ') AS reasons FROM claims WHERE claim_id IS NOT NULL) WHERE reasons <> ''",
-    "split_proposals": r"WITH p AS (SELECT DISTINCT claim_id, list_filter(list_transform(string_split_regex(claim_text, '(?i);\s+|, (?:and|but|so|yet|whereas|while|because|although) '), lambda x: trim(regexp_replace(x, '[.\s]+$', ''))), lambda x: x <> '') AS p FROM claims WHERE claim_id IS NOT NULL AND claim_text IS NOT NULL) SELECT DISTINCT claim_id, i::INTEGER AS place, p[i] AS piece FROM (SELECT claim_id, p, unnest(range(1, len(p) + 1)) AS i FROM p WHERE len(p) > 1 AND len(list_filter(p, lambda x: len(string_split_regex(x, '\s+')) < 3)) = 0)",
     "friction_pairs": _BASE + _FRICTION + "SELECT * FROM friction",
     "link_report": _BASE + _FRICTION + """, d2 AS (SELECT a, b FROM wedge ANTI JOIN pairs USING (a, b)), d2b AS (SELECT a AS node, b AS other FROM d2 UNION ALL SELECT b, a FROM d2), d3 AS (SELECT DISTINCT x.node AS a, y.other AS b FROM d2b x JOIN two y ON x.other = y.node WHERE x.node < y.other),
 far AS (SELECT a, b, 4.0::DOUBLE AS q FROM d2 UNION ALL SELECT a, b, 9.0::DOUBLE FROM (SELECT * FROM d3 ANTI JOIN pairs USING (a, b)) t ANTI JOIN d2 USING (a, b)), grav AS (SELECT a, b, x.d * y.d / q AS score FROM far JOIN deg x ON x.node = a JOIN deg y ON y.node = b WHERE x.d * y.d / q >= 0.5),

@@ -31,11 +31,6 @@ def best_span(s, d):
     return segments.best_span(table(s, d, "claims").select("claim_id", "claim_text", "quote").distinct(), "claim_id", "claim_text", "quote")
 
 
-def compound_claims(s, d):
-    c = table(s, d, "claims").where("claim_text IS NOT NULL").select(F.coalesce("claim_quality", F.lit("unknown")).alias("quality"), "claim_id", segments.compound(F.col("claim_text")).alias("c")).distinct()
-    return c.groupBy("quality").agg(F.count(F.lit(1)).alias("n"), F.count_if("c").alias("n_compound"))
-
-
 def year_index(s, d):
     return table(s, d, "documents").select("doc_id", F.explode(segments.years(F.col("text"))).alias("year"))
 
@@ -59,7 +54,7 @@ def keyword_overlap(s, d):
     return i.join(held.withColumn("hit", F.lit(1)), "word", "left").groupBy("item_id").agg(F.count(F.lit(1)).alias("n_words"), F.count("hit").alias("n_known"))
 
 
-QUERIES = {f.__name__: f for f in (section_spans, outline_paths, claim_groups, factual_sentences, best_span, compound_claims, year_index, code_symbols, path_quota, keyword_overlap)}
+QUERIES = {f.__name__: f for f in (section_spans, outline_paths, claim_groups, factual_sentences, best_span, year_index, code_symbols, path_quota, keyword_overlap)}
 
 _TERMS = r"list_filter(string_split_regex(lower({0}), '[^\p{{L}}\p{{N}}\p{{M}}]+'), lambda x: x <> '')"
 _KEY = r"trim(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}\p{{M}}]+', ' ', 'g'))"
@@ -77,7 +72,6 @@ SQL = {
     "claim_groups": f"WITH c AS (SELECT DISTINCT {_KEY.format('concept')} AS concept, claim_id FROM claims WHERE claim_id IS NOT NULL AND concept IS NOT NULL), g AS (SELECT *, ((row_number() OVER (PARTITION BY concept ORDER BY claim_id) - 1) // 29 + 1)::INTEGER AS group_no FROM c) SELECT concept, group_no, count(*) AS n, min(claim_id) AS first, max(claim_id) AS last FROM g GROUP BY ALL",
     "factual_sentences": rf"WITH q AS (SELECT claim_id, {_SENT.format('quote')} AS l FROM claims WHERE claim_id IS NOT NULL AND quote IS NOT NULL), s AS (SELECT claim_id, i, l[i] AS sentence FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM q)) SELECT DISTINCT claim_id, i::INTEGER AS place, sentence FROM s WHERE NOT ends_with(sentence, '?') AND len(list_filter(string_split_regex(sentence, '[^\p{{L}}]+'), lambda w: length(w) >= 2)) >= 4 AND NOT regexp_matches(lower(sentence), '\b(?:might|may be|perhaps|possibly|unclear|unknown)\b')",
     "best_span": rf"WITH c AS (SELECT DISTINCT claim_id, claim_text, quote FROM claims WHERE claim_id IS NOT NULL AND claim_text IS NOT NULL AND quote IS NOT NULL), m AS (SELECT claim_id, list_distinct(list_filter({_TERMS.format('claim_text')}, lambda x: length(x) > 3)) AS mine, {_SENT.format('quote')} AS l FROM c), s AS (SELECT claim_id, mine, i, len(list_intersect(mine, list_distinct({_TERMS.format('l[i]')}))) AS o FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM m WHERE len(mine) > 0)) SELECT claim_id, i::INTEGER AS place, o::INTEGER AS overlap, round(o / len(mine), 4) AS coverage FROM s WHERE o > 0 QUALIFY row_number() OVER (PARTITION BY claim_id ORDER BY o DESC, round(o / len(mine), 4) DESC, i) = 1",
-    "compound_claims": "WITH c AS (SELECT DISTINCT coalesce(claim_quality, 'unknown') AS quality, claim_id, contains(claim_text, ';') OR regexp_matches(lower(claim_text), ', (?:and|but|so|yet|whereas|while|because|although) ') AS c FROM claims WHERE claim_text IS NOT NULL) SELECT quality, count(*) AS n, count(*) FILTER (WHERE c) AS n_compound FROM c GROUP BY quality",
     "year_index": r"SELECT DISTINCT doc_id, y AS year FROM (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(text, '([^\d.-])', '\1\1', 'g'), '(?:^|[^\d.-])((?:19|20)\d{2})(?:$|[^\d.])', 1)) AS y FROM documents WHERE text IS NOT NULL)",
     "code_symbols": rf"""WITH l AS (SELECT doc_id, i, regexp_replace(l[i], '\r$', '') AS line FROM {_L}), f AS (SELECT *, sum(regexp_matches(line, '^\s*```')::INTEGER) OVER (PARTITION BY doc_id ORDER BY i) AS n FROM l), c AS (SELECT * FROM f WHERE n % 2 = 1 AND NOT regexp_matches(line, '^\s*```'))
 SELECT DISTINCT doc_id, kind, symbol FROM ("""

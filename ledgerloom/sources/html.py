@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import re
 from html.parser import HTMLParser
+from urllib.parse import parse_qsl, urlencode, urljoin, urlsplit, urlunsplit
 
 #: Elements without text of their own, and elements that end a line.
 HIDDEN = ("script", "style", "nav", "footer", "aside", "noscript", "template")
@@ -75,3 +77,58 @@ def to_text(html: str) -> str:
             continue
     best = max(found, key=len)
     return best or _tidy("".join(reader.out))
+
+
+#: Tags that name a page's other addresses, and the meta names of bibliographic fields, in the order in which they count.
+ADDRESSES = (("link", "rel", "canonical", "href"), ("link", "rel", "amphtml", "href"), ("meta", "property", "og:url", "content"), ("meta", "name", "twitter:url", "content"))
+DOI = (("name", "citation_doi"), ("property", "citation_doi"), ("name", "dc.identifier"), ("name", "dc.identifier.doi"))
+JOURNAL = (("name", "citation_journal_title"), ("name", "citation_publisher"), ("name", "dc.publisher"))
+AUTHOR = (("name", "citation_author"), ("name", "dc.creator"))
+DATE = (("name", "citation_date"), ("name", "citation_publication_date"), ("name", "dc.date"), ("name", "dc.date.issued"))
+
+
+class _Head(HTMLParser):
+    """Collects the attributes of link and meta tags."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.tags: list[tuple[str, dict[str, str]]] = []
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag in ("link", "meta"):
+            self.tags.append((tag, {k: (v or "").strip() for k, v in attrs}))
+
+
+def _tags(html: str) -> list[tuple[str, dict[str, str]]]:
+    head = _Head()
+    head.feed(html)
+    head.close()
+    return head.tags
+
+
+def without_tracking(url: str) -> str:
+    """The address without parameters that only track a visit; the others keep order and blank values."""
+    parts = urlsplit(url)
+    kept = [(k, v) for k, v in parse_qsl(parts.query, keep_blank_values=True) if not k.startswith("utm_") and k not in ("fbclid", "gclid", "mc_cid", "mc_eid")]
+    return urlunsplit((parts.scheme, parts.netloc, parts.path, urlencode(kept), parts.fragment))
+
+
+def candidate_urls(html: str, url: str) -> list[str]:
+    """The page's own address and those its head names, without tracking, each once, in that order."""
+    tags = _tags(html)
+    named = (next((a.get(value) for t, a in tags if t == tag and a.get(key) == is_), None) for tag, key, is_, value in ADDRESSES)
+    return list(dict.fromkeys(map(without_tracking, [url, *(urljoin(url, n) for n in named if n)])))
+
+
+def bibliography(html: str) -> dict[str, str | int | None]:
+    """Author, journal, year and DOI from a page's meta tags; null where there is none."""
+    metas = [a for t, a in _tags(html) if t == "meta"]
+
+    def all_of(names: tuple[tuple[str, str], ...]) -> list[str]:
+        for key, name in names:
+            if found := [a["content"] for a in metas if a.get(key) == name and a.get("content")]:
+                return found
+        return []
+
+    year = next((m.group() for d in all_of(DATE)[:1] if (m := re.search(r"\b(?:19|20)\d{2}\b", d))), None)
+    return {"author": ", ".join(all_of(AUTHOR)) or None, "journal": next(iter(all_of(JOURNAL)), None), "year": int(year) if year else None, "doi": next(iter(all_of(DOI)), None)}

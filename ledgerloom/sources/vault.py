@@ -51,6 +51,32 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.select(*flat).write.mode("overwrite").option("header", "true").csv(path)
 
 
+def read_list(spark: SparkSession, path: str) -> DataFrame:
+    """``(item)``: the lines of an input list without outer blanks; empty ones and those that begin with ``#`` are left out."""
+    return spark.read.text(path).select(F.btrim("value", F.lit(" \t\r")).alias("item")).where("item <> '' AND NOT startswith(item, '#')")
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """JSON lines; a reader sees the old rows or the new ones, as Spark moves the files into place when all are written."""
+    df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def html_facts(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
+    """``(key, candidates, author, journal, year, doi)`` of HTML pages; a null page names its own address only, a null address gives no row."""
+    from ledgerloom.sources.html import bibliography, candidate_urls
+
+    kind = pages.schema[key].dataType.simpleString()
+
+    def run(batches):  # noqa: ANN001, ANN202
+        for pdf in batches:
+            facts = [bibliography(h or "") for h in pdf[html]]
+            out = {key: pdf[key], "candidates": [candidate_urls(h or "", u) for h, u in zip(pdf[html], pdf[url])]}
+            out |= {f: [x[f] for x in facts] for f in ("author", "journal", "doi")}
+            yield pd.DataFrame(out | {"year": pd.array([x["year"] for x in facts], dtype="Int32")})
+
+    return pages.where(F.col(url).isNotNull()).select(key, url, html).mapInPandas(run, f"{key} {kind}, candidates array<string>, author string, journal string, doi string, year int")
+
+
 def html_text(pages: DataFrame, key: str, html: str) -> DataFrame:
     """``(key, text)`` of HTML pages: text outside scripts, styles and navigation, blocks on lines of their own; null gives an empty text."""
     from ledgerloom.sources.html import to_text

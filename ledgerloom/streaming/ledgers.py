@@ -59,6 +59,32 @@ def settle(stream: DataFrame, mode: str = "complete") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{home}/rows")
 
 
+def settle_upserts(stream: DataFrame, key: str, version: str) -> DataFrame:
+    """The row of the greatest ``version`` per key of all that is available now, merged batch by batch.
+
+    Batch n merges its own latest rows with the table that batch n - 1 left and writes a new one, so a batch
+    that is run again writes the same table. Null keys are left out; ties go to the greater other columns.
+    """
+    spark = stream.sparkSession
+    home = os.path.join(checkpoint_dir(spark), f"upserts-{uuid.uuid4().hex}")
+    last: list[int] = []
+
+    def latest(rows: DataFrame) -> DataFrame:
+        rest = [c for c in stream.columns if c not in (key, version)]
+        best = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct(version, *rest)).alias("r"))
+        return best.select(*(F.col(key) if c == key else F.col(f"r.{c}") for c in stream.columns))
+
+    def merge(batch: DataFrame, number: int) -> None:
+        rows = latest(batch)
+        if number:
+            rows = latest(rows.unionByName(spark.read.schema(stream.schema).parquet(f"{home}/rows-{number - 1}")))
+        rows.write.mode("overwrite").parquet(f"{home}/rows-{number}")
+        last[:] = [number]
+
+    stream.writeStream.option("checkpointLocation", f"{home}/state").foreachBatch(merge).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{home}/rows-{last[0]}") if last else spark.createDataFrame([], stream.schema)
+
+
 def regression_gate(metrics: DataFrame, key: str, hard: tuple[str, ...]) -> DataFrame:
     """``metrics`` with ``regressed``: whether any hard counter rose strictly against the row before; the first never regresses."""
     order = Window.partitionBy(F.lit(0)).orderBy(key)

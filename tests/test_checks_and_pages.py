@@ -1,7 +1,9 @@
 """Search, quotes, grades, page grammar, audits and proposals on small fixtures."""
 
+import hashlib
+
 import pytest
-from ledgerloom.operators import pages, proposals, ranking, verification
+from ledgerloom.operators import clauses, notes, pages, proposals, ranking, segments, upkeep, verification
 from pyspark.sql import functions as F
 
 
@@ -106,10 +108,55 @@ def test_proposals(spark):
     pair = lambda *p: spark.createDataFrame(list(p), "a string, b string, x double")
     f = proposals.friction(pair(("a", "b", 0.5), ("a", "c", 0.5), ("b", "c", 0.28)).withColumnRenamed("x", "cosine"), pair(("a", "b", 0.5)).withColumnRenamed("x", "jaccard"), pair(("a", "c", 0.0)), pair(("b", "c", 0.0)), 0.25)
     assert rows(f) == [("a", "b", 0.25), ("b", "c", 0.38)]
-    h = proposals.hub_pairs(spark.createDataFrame([("a", 1.0), ("b", 0.9), ("c", 0.9), ("d", 0.1), ("e", 0.1), ("f", 0.0)], "node string, score double"), pair(("a", "b", 0.0)))
+    h = proposals.hub_pairs(spark.createDataFrame([("a", 1.0), ("b", 0.9), ("c", 0.9), ("d", 0.1), ("e", 0.1), ("f", 0.0)], "node string, score double"), pair(("a", "b", 0.0)), 0.5)
     assert rows(h) == [("a", "c", 0.9), ("b", "c", 0.81)]
+    many = spark.createDataFrame([(f"n{i:03d}", 1 - i / 1000) for i in range(300)], "node string, score double")
+    want = sorted(((-round((1 - i / 1000) * (1 - j / 1000), 6), f"n{i:03d}", f"n{j:03d}") for i in range(150) for j in range(i + 1, 150) if i))[:5]
+    got = proposals.hub_pairs(many, many.select(F.lit("n000").alias("a"), F.col("node").alias("b")), 0.5, 5)
+    assert sorted((-r.score, r.a, r.b) for r in got.collect()) == want
     m = proposals.merged_signals({"one": pair(("b", "a", 2.0), ("a", "c", 1.0), ("c", "d", 3.0)).withColumnRenamed("x", "score"), "two": pair(("a", "b", 5.0)).withColumnRenamed("x", "score")}, 2)
     assert rows(m) == [("a", "b", 2, 5.0, "one,two"), ("c", "d", 1, 3.0, "one")]
-    assert one(spark, proposals.pieces, "The lock was held; and the queue ran dry, but the broker kept going.") == ["The lock was held", "and the queue ran dry", "the broker kept going"]
-    assert one(spark, proposals.pieces, "The lock, and key") is None and one(spark, proposals.pieces, None) is None
     assert rows(proposals.contrast_pairs(spark.createDataFrame([("a", "Unlike others it holds", ["b", "a"]), ("c", "plain", ["d"]), ("e", None, None)], "name string, text string, others array<string>"))) == [("a", "b")]
+
+
+def test_compound_claims(spark):
+    said = {
+        "The broker writes rows; the cache stores keys": (["multi-predicate"], ["The broker writes rows.", "The cache stores keys."]),
+        "Compile writes summaries and concept pages": ([], []),
+        "In 2020 it was slow, since March it is fast": (["mixed-temporal"], []),
+        "It is faster than before because of the disk": (["comparison-causal"], []),
+        "The cache is faster because the disk fails": (["comparison-causal"], ["The cache is faster.", "The disk fails."]),
+        "Teams should run lint because it catches errors": (["recommendation-fact"], ["Teams should run lint.", "It catches errors."]),
+        "Teams should run lint": ([], []), "other than that": ([], []), "": ([], []),
+    }
+    df = spark.createDataFrame([(t,) for t in said] + [(None,), ("word " * 20000,)], "t string").select("t", clauses.categories(F.col("t")).alias("c"), clauses.statements(F.col("t")).alias("s"))
+    got = {r.t: (r.c, r.s) for r in df.collect()}
+    assert {t: got[t] for t in said} == said and got[None][0] is None
+    assert clauses.third_person("verify") == "verifies" and clauses.third_person("catch") == "catches" and clauses.third_person("pass") == "passes"
+
+
+def test_upkeep(spark):
+    edges = spark.createDataFrame([("source", "s1", "claim", "c1"), ("source", "s1", "claim", "c2"), ("claim", "c1", "concept", "k"), ("claim", "c2", "concept", "k"), ("concept", "k", "answer", "9"), ("source", "s2", "claim", "c3"), ("source", "s1", "claim", "c1")], "from_type string, a string, to_type string, b string")
+    t = upkeep.stale_targets(spark.createDataFrame([("v1", "s1"), ("v1", "s1"), ("v2", None), ("v2", "none")], "version string, source_id string"), edges)
+    assert rows(t) == [("v1", "s1", "answer", "9"), ("v1", "s1", "claim", "c1"), ("v1", "s1", "claim", "c2"), ("v1", "s1", "concept", "k")]
+    q = spark.createDataFrame([("v1", 1), ("v2", 2)], "version string, n int")
+    e = spark.createDataFrame([(3, "v2"), (4, "v3")], "n int, version string")
+    once = upkeep.upserted(q, e, "version")
+    assert rows(once) == rows(upkeep.upserted(once, e, "version")) == [("v1", 1), ("v2", 3), ("v3", 4)]
+    assert rows(upkeep.not_yet_emitted(e.unionByName(e), q, ["version"])) == [("v3", 4)]
+    ref = lambda *x: spark.createDataFrame([(i,) for i in x], "ref string")
+    r = upkeep.review_queue({"b": ("warning", ref("y", "x", None)), "a": ("error", ref("z", "z")), "c": ("warning", ref("w"))})
+    assert rows(r) == [(1, "error", "a", "z"), (2, "warning", "b", "x"), (3, "warning", "b", "y"), (4, "warning", "c", "w")]
+    docs = spark.createDataFrame([(1, "# Method: A b!\ntext\n## Results\nx\n# Method: A b!\ny"), (2, "plain"), (3, None), (4, "# !!!\n")], "doc_id bigint, text string")
+    n = {(x.doc_id, x.node_id): (x.type, x.level, x.start, x.end) for x in upkeep.segment_nodes(segments.section_spans(docs), docs).collect()}
+    assert n == {(1, "a-b"): ("method_section", 1, 0, 33), (1, "results"): ("results", 2, 20, 33), (1, "a-b-1"): ("method_section", 1, 33, 49), (2, "document"): ("document", 0, 0, 5), (4, "node-"): ("heading", 1, 0, 6)}
+    b = upkeep.block_segments(notes.lines(spark.createDataFrame([(1, "| a | b |\n| - | - |\n\na | b | c\n![x](y)\nFigure 2: z\nno | table")], "doc_id bigint, text string")))
+    assert rows(b) == [(1, "figure", 5, 5), (1, "figure", 6, 6), (1, "table", 1, 2), (1, "table", 4, 4)]
+    budget = spark.createDataFrame([(0, 0), (1_995_996, 1), (3_993_996, 1)], "n bigint, k int").select(*(c.alias(x) for x, c in upkeep.compile_budget(F.col("n"), F.col("k")).items()))
+    assert rows(budget) == [(1, 1000, "ok"), (498999, 1500, "warn"), (998499, 1500, "warn")]
+    d = upkeep.run_drift(spark.createDataFrame([("a", "x"), ("b", "x"), ("c", None)], "id string, verdict string"), spark.createDataFrame([("a", "x"), ("b", "y"), ("d", "z"), ("c", None)], "id string, verdict string"))
+    assert rows(d) == [("b", "x", "y", "changed"), ("d", None, "z", "new")]
+    f = spark.createDataFrame([("a", None), ("a", None), ("b", "c")], "x string, y string").select(upkeep.fingerprint(F.col("x"), F.col("y")).alias("fingerprint"))
+    assert upkeep.misses(f, f.limit(0)).count() == 2 and upkeep.misses(f, f).count() == 0
+    many = spark.createDataFrame([("g", str(i)) for i in range(50)] + [("h", "1"), ("h", None)], "g string, k string")
+    assert [r.k for r in upkeep.chosen_by_hash(many, "g", "k", 3).where("g = 'g'").orderBy("rank").collect()] == sorted(map(str, range(50)), key=lambda i: hashlib.md5(i.encode()).hexdigest())[:3]

@@ -1,8 +1,9 @@
 from datetime import datetime, timedelta
 
 from ledgerloom.sources import vault
-from ledgerloom.sources.html import to_text
+from ledgerloom.sources.html import bibliography, candidate_urls, to_text
 from ledgerloom.streaming import ledgers
+from ledgerloom.operators import notes
 
 T = datetime(2026, 1, 1)
 EVENTS = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double"
@@ -61,3 +62,27 @@ def test_html():
     assert to_text("<body>menu<article><p>body text</p></article></body>") == "body text"
     assert to_text('<article>a</article><script type="application/ld+json">{"@graph": [{"articleBody": "longer body"}]}</script>') == "longer body"
     assert to_text("") == ""
+
+
+def test_addresses_and_bibliography(spark):
+    html = """<head><link rel="canonical" href="/a?utm_source=x&q="><meta property="og:url" content="https://h.example/p?fbclid=1"><meta name="twitter:url" content="https://h.example/p">
+    <meta name="citation_author" content="A B"><meta name="citation_author" content=" C "><meta name="dc.publisher" content="J"><meta name="dc.date" content="12 May 2021"><meta property="citation_doi" content="10.1/x"></head>"""
+    assert candidate_urls(html, "https://h.example/p?gclid=2") == ["https://h.example/p", "https://h.example/a?q="]
+    assert bibliography(html) == {"author": "A B, C", "journal": "J", "year": 2021, "doi": "10.1/x"}
+    assert bibliography("<p>no head") == {"author": None, "journal": None, "year": None, "doi": None}
+    df = spark.createDataFrame([(1, "https://h.example/p", html), (2, "https://h.example/q", None), (3, None, html)], "k int, url string, html string")
+    got = {r.k: (r.candidates, r.author, r.year) for r in vault.html_facts(df, "k", "url", "html").collect()}
+    assert got == {1: (["https://h.example/p", "https://h.example/a?q="], "A B, C", 2021), 2: (["https://h.example/q"], None, None)}
+
+
+def test_lists_and_upserts(spark, tmp_path):
+    (tmp_path / "in.txt").write_text("# head\n\n one \n#two\nthree\r\n")
+    assert [r.item for r in vault.read_list(spark, str(tmp_path / "in.txt")).collect()] == ["one", "three"]
+    vault.write_json(spark.createDataFrame([("a", None)], "id string, n int"), str(tmp_path / "j"))
+    assert spark.read.json(str(tmp_path / "j")).columns == ["id", "n"]
+    docs = spark.createDataFrame([(1, "---\ntags:\n- 'a b'\n- c\nother: x\n---\n- no"), (2, "---\ntags: [p, \"q\"]\n---\n"), (3, "tags:\n- no"), (4, None)], "doc_id bigint, text string")
+    assert sorted(map(tuple, notes.front_list(docs, "tags").collect())) == [(1, 1, "a b"), (1, 2, "c"), (2, 1, "p"), (2, 2, "q")]
+    (tmp_path / "e").mkdir()
+    df = events(spark)
+    got = ledgers.settle_upserts(stream(spark, tmp_path / "e", df), "user_id", "ts")
+    assert {r.user_id: r.event_id for r in got.collect()} == {0: 39, 1: 37, 2: 38}
