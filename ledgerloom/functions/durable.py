@@ -27,3 +27,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared checkpoint folder."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def fresh_checkpoint(df: DataFrame) -> DataFrame:
+    """The same for loops of many rounds, without what the optimizer inferred about the rows.
+
+    A checkpoint keeps the constraints of the plan it was made by; where each round joins the one before with
+    itself, they double from round to round until planning takes longer than the work.
+    """
+    kept, spark = checkpoint(df), df.sparkSession
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(kept._jdf.queryExecution().toRdd(), kept._jdf.schema(), False), spark)

@@ -125,7 +125,7 @@ def link_candidates(s, d):
     both = co.join(jac, ["a", "b"], "full").join(act, ["a", "b"], "full").join(_pairs(s, d), ["a", "b"], "left_anti")
     signals = sum((F.when(F.col(c).isNotNull(), 1).otherwise(0) for c in ("co", "jaccard", "activation")), F.lit(0))
     score = F.coalesce("co", F.lit(0.0)) + 5 * F.coalesce("jaccard", F.lit(0.0)) + 2 * F.coalesce("activation", F.lit(0.0))
-    return both.select("a", "b", signals.alias("n_signals"), F.round(score, 9).alias("score")).where("n_signals >= 2")
+    return both.select("a", "b", signals.alias("n_signals"), F.round(score, 10).alias("score")).where("n_signals >= 2")
 
 
 def link_components(s, d):
@@ -245,12 +245,12 @@ start AS (SELECT node FROM (SELECT a AS node FROM k UNION SELECT b FROM k) WHERE
 d3 AS (SELECT DISTINCT x.node AS a, y.other AS b FROM d2b x JOIN two y ON x.other = y.node WHERE x.node < y.other),
 far AS (SELECT a, b, 4.0::DOUBLE AS q FROM d2 UNION ALL SELECT a, b, 9.0::DOUBLE FROM (SELECT * FROM d3 ANTI JOIN pairs USING (a, b)) t ANTI JOIN d2 USING (a, b))
 SELECT a, b, x.d * y.d / q AS gravity FROM far JOIN deg x ON x.node = a JOIN deg y ON y.node = b WHERE x.d * y.d / q >= 0.5""",
-    "spreading_activation": _BASE + _ACT + "SELECT seed, node, round(m, 9) AS activation FROM act",
+    "spreading_activation": _BASE + _ACT + "SELECT seed, node, round(m, 12) AS activation FROM act",
     "missing_backlinks": _BASE + "SELECT l.a, l.b FROM links l WHERE l.a <> l.b AND NOT EXISTS (SELECT 1 FROM links r WHERE r.a = l.b AND r.b = l.a)",
-    "link_candidates": _BASE + _ACT + """SELECT a, b, n AS n_signals, round(score, 9) AS score FROM (
+    "link_candidates": _BASE + _ACT + """SELECT a, b, n AS n_signals, round(score, 10) AS score FROM (
 SELECT a, b, (co IS NOT NULL)::INTEGER + (jaccard IS NOT NULL)::INTEGER + (activation IS NOT NULL)::INTEGER AS n, coalesce(co, 0) + 5 * coalesce(jaccard, 0) + 2 * coalesce(activation, 0) AS score
 FROM (SELECT a, b, 0.4::DOUBLE * shared + 0.3::DOUBLE * greatest(0, pmi) AS co FROM pmi WHERE pmi >= 0.5) FULL JOIN (SELECT * FROM jac WHERE jaccard >= 0.15) USING (a, b)
-FULL JOIN (SELECT * FROM (SELECT least(seed, node) AS a, greatest(seed, node) AS b, max(round(m, 9)) AS activation FROM act GROUP BY ALL) WHERE activation >= 0.05) USING (a, b)) t ANTI JOIN pairs USING (a, b) WHERE n >= 2""",
+FULL JOIN (SELECT * FROM (SELECT least(seed, node) AS a, greatest(seed, node) AS b, max(round(m, 12)) AS activation FROM act GROUP BY ALL) WHERE activation >= 0.05) USING (a, b)) t ANTI JOIN pairs USING (a, b) WHERE n >= 2""",
     "link_components": _BASE + ", r(a, b) AS (SELECT node, other FROM two UNION SELECT r.a, two.other FROM r JOIN two ON two.node = r.b) SELECT a AS node, least(a, min(b)) AS label FROM r GROUP BY a",
     "project_modularity": _BASE + ", w AS (SELECT split_part(a, ' ', 1) AS ca, split_part(b, ' ', 1) AS cb, weight FROM proj), m AS (SELECT sum(weight) AS m FROM w), c AS (SELECT c, sum(i) AS i, sum(d) AS d FROM (SELECT ca AS c, CASE WHEN ca = cb THEN weight ELSE 0 END AS i, weight AS d FROM w UNION ALL SELECT cb, 0, weight FROM w) GROUP BY c) SELECT round(sum(i / m - pow(d / (2 * m), 2)), 4) AS modularity FROM c, m",
     "project_report": _BASE + """, l AS (SELECT split_part(a, ' ', 1) AS ca, split_part(b, ' ', 1) AS cb, a, b FROM pairs), ends AS (SELECT a AS node, ca AS c, ca = cb AS i FROM l UNION ALL SELECT b, cb, ca = cb FROM l)
