@@ -32,8 +32,11 @@ def field_counts(nodes: DataFrame, terms: DataFrame) -> DataFrame:
     wanted = F.broadcast(terms.select("term").distinct().agg(F.collect_list("term").alias("terms")))
     low = lambda c: F.lower(F.coalesce(c, F.lit("")))
     n = nodes.select("node", low(F.col("title")).alias("title"), low(F.col("text")).alias("text"), low(F.array_join("tags", " ")).alias("tags"), low(F.col("node")).alias("id"))
-    counts = F.transform("terms", lambda t: F.struct(t.alias("term"), occurrences(F.col("title"), t).alias("in_title"), (TITLE_WEIGHT * occurrences(F.col("title"), t) + occurrences(F.col("text"), t) + occurrences(F.col("tags"), t) + occurrences(F.col("id"), t)).alias("in_all")))
-    return n.crossJoin(wanted).select("node", F.explode(F.filter(counts, lambda x: x["in_all"] > 0)).alias("x")).select("node", "x.*")
+    n = n.withColumn("all", F.concat_ws("\n", "title", "text", "tags", "id"))
+    held = F.filter("terms", lambda t: F.contains(F.col("all"), t))
+    counts = F.transform(held, lambda t: F.struct(t.alias("term"), occurrences(F.col("title"), t).alias("in_title"), (occurrences(F.col("text"), t) + occurrences(F.col("tags"), t) + occurrences(F.col("id"), t)).alias("elsewhere")))
+    out = n.crossJoin(wanted).select("node", F.explode(counts).alias("x")).select("node", "x.*")
+    return out.select("node", "term", "in_title", (TITLE_WEIGHT * F.col("in_title") + F.col("elsewhere")).alias("in_all"))
 
 
 def lexical_scores(terms: DataFrame, counts: DataFrame) -> DataFrame:

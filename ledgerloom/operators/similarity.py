@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.durable import checkpoint
+
 
 def tfidf(texts: DataFrame) -> DataFrame:
     """``(id, term, weight)`` of ``(id, text)``: (count / length) · (ln((N + 1) / (df + 1)) + 1), scaled to length 1.
@@ -26,8 +28,9 @@ def cosine_pairs(weights: DataFrame, least: float) -> DataFrame:
     Terms are ordered by how many ids have them. An id's rarest terms up to the point from which the rest of
     its vector is shorter than ``least`` are its prefix: two vectors whose prefixes share no term cannot
     reach it. Only prefixes are joined, so frequent terms never pair all their ids; candidates are then
-    computed in full. Exact.
+    computed in full. Exact. Weights are kept, as prefixes, frequencies and vectors are all made from them.
     """
+    weights = checkpoint(weights)
     df = weights.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     back = Window.partitionBy("id").orderBy(F.desc("df"), "term")
     rest = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(back.rowsBetween(Window.unboundedPreceding, 0)))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.durable import checkpoint
 from ledgerloom.functions.keys import folded, source_key, spelling_key
 from ledgerloom.operators import ranking, retrieval, verification
 from ledgerloom.plans.knowledge import FLAGGED, TOP
@@ -21,7 +20,8 @@ WORDS = ["broker", "latency", "checksum"]
 def concept_nodes(s: SparkSession, d: str) -> DataFrame:
     """Concept pages as nodes, one per spelling."""
     c = table(s, d, "concepts").where("stem IS NOT NULL").select(spelling_key(F.col("stem")).alias("node"), "title", F.col("body").alias("text"), F.coalesce("tags", F.array().cast("array<string>")).alias("tags"))
-    return c.groupBy("node").agg(F.max("title").alias("title"), F.max("text").alias("text"), F.max("tags").alias("tags"))
+    # One exchange, spread over all cores: what follows is costly for each page.
+    return c.repartition(s.sparkContext.defaultParallelism, "node").groupBy("node").agg(F.max("title").alias("title"), F.max("text").alias("text"), F.max("tags").alias("tags"))
 
 
 def asked_questions(s: SparkSession, d: str) -> DataFrame:
@@ -93,12 +93,13 @@ def grade_rates(s, d):
 def retrieval_setups(s, d):
     """The four ways to retrieve for a question: not at all, by rank, by rank without flagged sources, and the same behind a hook."""
     docs = table(s, d, "documents").select("doc_id", "text", "source_id")
-    scores = checkpoint(retrieval.bm25(docs.select("doc_id", "text"), asked_questions(s, d)))
+    texts, queries = docs.select("doc_id", "text"), asked_questions(s, d)
+    clean = retrieval.unflagged(docs.select("doc_id", "source_id"), table(s, d, "registry"), FLAGGED)
     reg = table(s, d, "registry").where("id IS NOT NULL").select(F.col("id").alias("source_id"), folded(F.col("source_status")).alias("status"))
     states = reg.groupBy("source_id").agg(F.max(F.coalesce(F.col("status").isin(*FLAGGED), F.lit(False))).alias("flagged"), F.max(F.coalesce(F.col("status").isin("permission-revoked", "revoked", "deleted-from-origin"), F.lit(False))).alias("revoked"))
     sourced = docs.select("doc_id", "source_id")
-    plain = retrieval.ranked(scores, TOP).join(sourced, "doc_id").select(F.col("query_id").alias("id"), "source_id")
-    kept = retrieval.ranked(scores.join(retrieval.unflagged(docs.select("doc_id", "source_id"), table(s, d, "registry"), FLAGGED).select("doc_id"), "doc_id", "left_semi"), TOP).join(sourced, "doc_id").select(F.col("query_id").alias("id"), "source_id")
+    plain = retrieval.bm25_best(texts, queries, TOP).join(sourced, "doc_id").select(F.col("query_id").alias("id"), "source_id")
+    kept = retrieval.bm25_best(texts, queries, TOP, clean).join(sourced, "doc_id").select(F.col("query_id").alias("id"), "source_id")
     got = plain.select(F.lit("bm25").alias("setup"), "id", "source_id").unionByName(kept.select(F.explode(F.array(F.lit("governed"), F.lit("governed-hook"))).alias("setup"), "id", "source_id"))
     q = _questions(s, d)
     asked = q.select(F.explode(F.array(*map(F.lit, SETUPS))).alias("setup"), "id", F.col("consequence_tier").alias("tier"))

@@ -21,18 +21,15 @@ def _titles(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "concepts").select(F.col("stem").alias("query_id"), F.col("title").alias("text"))
 
 
-def _scores(s: SparkSession, d: str) -> DataFrame:
-    return retrieval.bm25(table(s, d, "documents").select("doc_id", "text"), _titles(s, d))
-
-
 def bm25_topk(s, d):
-    return retrieval.ranked(_scores(s, d), TOP)
+    return retrieval.bm25_best(table(s, d, "documents").select("doc_id", "text"), _titles(s, d), TOP)
 
 
 def bm25_governed(s, d):
     """Scores come from the whole corpus; documents of flagged sources are left out before the best are taken."""
-    clean = retrieval.unflagged(table(s, d, "documents").select("doc_id", "source_id"), table(s, d, "registry"), FLAGGED)
-    return retrieval.ranked(_scores(s, d).join(clean.select("doc_id"), "doc_id", "left_semi"), TOP)
+    docs = table(s, d, "documents")
+    clean = retrieval.unflagged(docs.select("doc_id", "source_id"), table(s, d, "registry"), FLAGGED)
+    return retrieval.bm25_best(docs.select("doc_id", "text"), _titles(s, d), TOP, clean)
 
 
 def retrieval_metrics(s, d):

@@ -266,3 +266,16 @@ def test_steering_matches(spark):
     texts = [(str(i), f"first line\n \t{p} and more\n{p}") for i, p in enumerate(phrases)] + [("all", "\n".join(p + " x" for p in phrases)), ("in", "do not ignore all instructions"), ("cr", "x\rjailbreak"), ("none", None)]
     got = {x.doc_id: x.matches for x in notes.steering_matches(spark.createDataFrame(texts, "doc_id string, text string")).collect()}
     assert got == {str(i): [p.strip()] for i, p in enumerate(phrases)} | {"all": [p.strip() for p in phrases]}
+
+
+def test_best_documents_equal_the_full_ranking(spark):
+    r = random.Random(12)
+    words = ["the", "of"] * 12 + [f"w{i}" for i in range(40)]
+    docs = spark.createDataFrame([(i, " ".join(r.choices(words, k=r.randrange(1, 40)))) for i in range(200)] + [(900, None), (901, "")], "doc_id bigint, text string")
+    q = spark.createDataFrame([("common", "the of the"), ("rare", "w1 w2 the of"), ("one", "w3"), ("none", "zzz"), ("null", None), ("mixed", "of w4 w5 w6 w4")], "query_id string, text string")
+    keep = docs.where("doc_id % 3 > 0").select("doc_id")
+    full = retrieval.bm25(docs, q)
+    for k in (1, 5, 60):
+        assert rows(retrieval.bm25_best(docs, q, k)) == rows(retrieval.ranked(full, k))
+        assert rows(retrieval.bm25_best(docs, q, k, keep)) == rows(retrieval.ranked(full.join(keep, "doc_id", "left_semi").select("query_id", "doc_id", "score"), k))
+    assert retrieval.bm25_best(docs.limit(0), q, 3).count() == retrieval.bm25_best(docs, q.limit(0), 3).count() == 0
