@@ -41,11 +41,13 @@ SKETCH_BITS = 24
 
 def fingerprints(claims: DataFrame, key: str, concept: str, text: str) -> DataFrame:
     """``(id, cls, home, words)``: class of equal texts, hashed concept and sorted hashes of the distinct words."""
-    named = claims.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), spelling_key(F.col(concept)).alias("home"), F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).alias("w"))
+    named = claims.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), spelling_key(F.col(concept)).alias("home"), F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)).alias("w"))
     named = named.where((F.size("w") > 0) & (F.col("home") != ""))
     words = F.array_sort(F.array_distinct(F.transform("w", lambda x: F.xxhash64(x))))
     hashed = named.select("id", F.xxhash64("home").alias("home"), words.alias("words"))
-    return hashed.select("id", F.unhex(F.md5(F.concat_ws(" ", F.col("home").cast("string"), F.col("words").cast("array<string>")))).alias("cls"), "home", "words")
+    # Two hashes of 64 bits over the same words from different beginnings stand for the text.
+    half = lambda *c: F.lpad(F.hex(F.xxhash64(*c)), 16, "0")
+    return hashed.select("id", F.unhex(F.concat(half("home", "words"), half(F.lit("cls"), "words", "home"))).alias("cls"), "home", "words")
 
 
 def sketch(values: DataFrame) -> np.ndarray:
