@@ -112,7 +112,7 @@ def word_distance(a: list[str], b: list[str], most: int) -> int:
 
 def _misspelt(a: str, b: str) -> bool:
     """Whether two words are at most two letters (or one swap of neighbours) apart."""
-    if abs(len(a) - len(b)) > 2 or min(len(a), len(b)) < 3:
+    if abs(len(a) - len(b)) > 2 or min(len(a), len(b)) < 3 or len(_minus(list(a), list(b))) > 2:
         return False
     return word_distance(list(a), list(b), 4) <= 4 and (len(a) != len(b) or sum(x != y for x, y in zip(a, b)) <= 2) or sorted(a) == sorted(b)
 
@@ -122,15 +122,18 @@ def _places(words: list[str], w: str) -> list[tuple[set[str], set[str]]]:
     return [(set(words[max(0, i - AROUND) : i]), set(words[i + 1 : i + 1 + AROUND])) for i, x in enumerate(words) if x == w]
 
 
-def replaced(a: list[str], b: list[str]) -> list[tuple[str, str]]:
-    """Words only in ``a`` with words only in ``b`` that stand in their place and are no misspellings; both lists in the order of the texts.
+def renamed(a: list[str], b: list[str], only_a: list[str], only_b: list[str], known: frozenset[str]) -> bool:
+    """Whether a name only in ``a`` stands in the place of a name only in ``b``, both lists in the order of the texts.
 
-    Two words stand in the same place if they share a word close before or close behind them.
+    A name is a word that is not known and no misspelling of a word that only the other text has. Two words
+    stand in the same place if they share a word close before or close behind them.
     """
-    only_a, only_b = _minus(a, b), _minus(b, a)
-    x = [w for w in only_a if not any(_misspelt(w, v) for v in only_b)]
-    y = [w for w in only_b if not any(_misspelt(w, v) for v in only_a)]
-    return [(v, w) for v in x for w in y if any(p & r or q & s for p, q in _places(a, v) for r, s in _places(b, w))]
+    x, y = [w for w in only_a if w not in known], [w for w in only_b if w not in known]
+    if not x or not y:
+        return False
+    x = [w for w in x if not any(_misspelt(w, v) for v in only_b)]
+    y = [w for w in y if not any(_misspelt(w, v) for v in only_a)]
+    return any(p & r or q & s for v in x for w in y for p, q in _places(a, v) for r, s in _places(b, w))
 
 
 def same_question(a: list[str], b: list[str], known: frozenset[str] | None, edits: float = EDITS) -> bool:
@@ -140,12 +143,15 @@ def same_question(a: list[str], b: list[str], known: frozenset[str] | None, edit
     among the ``known`` ones; without known words no word counts as a name.
     """
     most = int(len(a) * edits)
-    if word_distance(sorted(a), sorted(b), most) > most:
+    only_a, only_b = _minus(a, b), _minus(b, a)
+    # Words that only one text has are a lower bound of the distance; a name costs less to tell than the distance.
+    if len(only_a) + len(only_b) > most or known is not None and renamed(a, b, only_a, only_b, known):
         return False
-    return known is None or not any(x not in known and y not in known for x, y in replaced(a, b))
+    return word_distance(sorted(a), sorted(b), most) <= most
 
 
 def _minus(a: list[str], b: list[str]) -> list[str]:
+    """The elements of ``a`` that ``b`` lacks, repeats counted."""
     left = list(b)
     out = []
     for w in a:
@@ -177,6 +183,8 @@ def overlaps(train: DataFrame, evaluation: DataFrame, train_key: str = "id", tra
     runs = train_substrings(some, segment_lengths(edits)).select(F.col("cls").alias("t"), "n", "at", "key", part.alias("part"))
     near = runs.join(segments, ["key", "part"]).where((F.abs(F.col("n") - F.col("m")) <= F.col("k")) & (F.abs(F.col("at") - F.col("from")) <= F.col("k"))).select("e", "t").distinct()
     pairs = near.join(e.select(F.col("cls").alias("e"), F.col("ordered").alias("a"), F.col("numbers").alias("na")), "e").join(t.select(F.col("cls").alias("t"), F.col("ordered").alias("b"), F.col("numbers").alias("nb")), "t").where("na = nb").select("e", "t", "a", "b")
+    # Different words that only one of the two has: never more than the distance.
+    pairs = pairs.where(F.size(F.array_except("a", "b")) + F.size(F.array_except("b", "a")) <= _edits(F.size("a"), edits))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = ordinary_words(vocabulary) if vocabulary else None
