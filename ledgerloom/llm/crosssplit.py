@@ -58,7 +58,9 @@ def _classes(rows: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame
     """Distinct word sequences with their numbers and the least of their orders, and which ids have them."""
     named = _named(rows, key, text)
     free = ~F.exists("words", lambda w: w.rlike(r"^\p{N}"))
-    return checkpoint(named.groupBy("cls").agg(F.first("words").alias("words"), F.min("ordered").alias("ordered")).withColumn("numbers", _numbers(F.col("words"))).withColumn("free", free)), named.select("cls", "id").distinct()
+    # The sorted words are made again from the ordered ones, so that only one list of words is shuffled.
+    least = named.groupBy("cls").agg(F.min("ordered").alias("ordered")).select("cls", F.array_sort("ordered").alias("words"), "ordered")
+    return checkpoint(least.withColumn("numbers", _numbers(F.col("words"))).withColumn("free", free)), named.select("cls", "id").distinct()
 
 
 def _edits(n: Column, edits: float) -> Column:
@@ -181,8 +183,10 @@ def overlaps(train: DataFrame, evaluation: DataFrame, train_key: str = "id", tra
     segments = eval_segments(e, edits).select(F.col("cls").alias("e"), F.col("n").alias("m"), "k", F.col("at").alias("from"), "key", F.explode(parts).alias("part"))
     part = F.when(F.col("free"), F.pmod(F.xxhash64("cls"), F.lit(SALTS)).cast("int")).otherwise(0)
     runs = train_substrings(some, segment_lengths(edits)).select(F.col("cls").alias("t"), "n", "at", "key", part.alias("part"))
-    near = runs.join(segments, ["key", "part"]).where((F.abs(F.col("n") - F.col("m")) <= F.col("k")) & (F.abs(F.col("at") - F.col("from")) <= F.col("k"))).select("e", "t").distinct()
-    pairs = near.join(e.select(F.col("cls").alias("e"), F.col("ordered").alias("a"), F.col("numbers").alias("na")), "e").join(t.select(F.col("cls").alias("t"), F.col("ordered").alias("b"), F.col("numbers").alias("nb")), "t").where("na = nb").select("e", "t", "a", "b")
+    # Segments and runs are many rows a class, which the planner does not count: sent to the driver they would be
+    # many times what a broadcast may hold. Texts are kept compressed, so their size is not told either.
+    near = runs.join(segments.hint("merge"), ["key", "part"]).where((F.abs(F.col("n") - F.col("m")) <= F.col("k")) & (F.abs(F.col("at") - F.col("from")) <= F.col("k"))).select("e", "t").distinct()
+    pairs = near.join(e.select(F.col("cls").alias("e"), F.col("ordered").alias("a"), F.col("numbers").alias("na")).hint("merge"), "e").join(t.select(F.col("cls").alias("t"), F.col("ordered").alias("b"), F.col("numbers").alias("nb")).hint("merge"), "t").where("na = nb").select("e", "t", "a", "b")
     # Different words that only one of the two has: never more than the distance.
     pairs = pairs.where(F.size(F.array_except("a", "b")) + F.size(F.array_except("b", "a")) <= _edits(F.size("a"), edits))
 
