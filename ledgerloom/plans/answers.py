@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.durable import checkpoint
 from ledgerloom.functions.keys import folded, source_key, spelling_key
 from ledgerloom.operators import ranking, retrieval, verification
 from ledgerloom.plans.knowledge import FLAGGED, TOP
@@ -97,10 +98,9 @@ def retrieval_setups(s, d):
     clean = retrieval.unflagged(docs.select("doc_id", "source_id"), table(s, d, "registry"), FLAGGED)
     reg = table(s, d, "registry").where("id IS NOT NULL").select(F.col("id").alias("source_id"), folded(F.col("source_status")).alias("status"))
     states = reg.groupBy("source_id").agg(F.max(F.coalesce(F.col("status").isin(*FLAGGED), F.lit(False))).alias("flagged"), F.max(F.coalesce(F.col("status").isin("permission-revoked", "revoked", "deleted-from-origin"), F.lit(False))).alias("revoked"))
-    sourced = docs.select("doc_id", "source_id")
-    plain = retrieval.bm25_best(texts, queries, TOP).join(sourced, "doc_id").select(F.col("query_id").alias("id"), "source_id")
-    kept = retrieval.bm25_best(texts, queries, TOP, clean).join(sourced, "doc_id").select(F.col("query_id").alias("id"), "source_id")
-    got = plain.select(F.lit("bm25").alias("setup"), "id", "source_id").unionByName(kept.select(F.explode(F.array(F.lit("governed"), F.lit("governed-hook"))).alias("setup"), "id", "source_id"))
+    best = checkpoint(retrieval.bm25_best_both(texts, queries, TOP, clean)).join(docs.select("doc_id", "source_id"), "doc_id")
+    given = F.array_compact(F.array(F.when(F.col("rank").isNotNull(), "bm25"), *(F.when(F.col("kept_rank").isNotNull(), setup) for setup in ("governed", "governed-hook"))))
+    got = best.select(F.explode(given).alias("setup"), F.col("query_id").alias("id"), "source_id")
     q = _questions(s, d)
     asked = q.select(F.explode(F.array(*map(F.lit, SETUPS))).alias("setup"), "id", F.col("consequence_tier").alias("tier"))
     relevant = q.select("id", F.explode("required_source_ids").alias("r")).select("id", source_key(F.col("r")).alias("source_id"))
